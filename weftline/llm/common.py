@@ -8,6 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -59,7 +60,7 @@ def slices(batch: pa.RecordBatch, most: int, column: str = "text", limit: int =
     """Parts of a batch with at most ``most`` rows and about ``limit`` bytes of text; a row is never split."""
     if not batch.num_rows:
         return
-    sizes = pa.compute.fill_null(pa.compute.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
     start, total = 0, 0
     for i, n in enumerate(sizes):
         if i > start and (total + n > limit or i - start >= most):
