@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from weftline.llm import bpe
+from weftline.llm import bpe, decontam, secrets
 from weftline.llm.common import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -18,7 +19,21 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_decode(read_table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN, digest=True)
 
 
-QUERIES: dict[str, Query] = {"op1_bpe": op1_bpe}
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontam.find_windows(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
+
+
+def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    paths, _, _ = secrets.scan(read_table(spark, sf_dir, "documents"))
+    return secrets.digest(paths)
+
+
+QUERIES: dict[str, Query] = {
+    "op1_bpe": op1_bpe,
+    "op2_decontamination": op2_decontamination,
+    "op10_secret_scan": op10_secret_scan,
+}
 SQL: dict[str, str] = {}
 
 
