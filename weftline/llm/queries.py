@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm import bpe, chat, decontam, minhash, secrets, suffix, topk
+from weftline.llm import bpe, chat, decontam, langid, minhash, secrets, suffix, topk, toxicity
 from weftline.llm.common import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -39,10 +39,20 @@ def op6_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(read_table(spark, sf_dir, "embeddings"), k=5, every=50)
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.train(docs, read_table(spark, sf_dir, "labels")))
+
+
 def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(read_table(spark, sf_dir, "documents"), shingle=3, num=85, den=100)
 
 
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    return langid.predict(docs, langid.train(docs))
+
+
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     paths, _, _ = secrets.scan(read_table(spark, sf_dir, "documents"))
     return secrets.digest(paths)
@@ -54,7 +64,9 @@ QUERIES: dict[str, Query] = {
     "op3_chat_format": op3_chat_format,
     "op5_suffix_dedup": op5_suffix_dedup,
     "op6_top_k": op6_top_k,
+    "op7_toxicity": op7_toxicity,
     "op8_near_duplicates": op8_near_duplicates,
+    "op9_language_id": op9_language_id,
     "op10_secret_scan": op10_secret_scan,
 }
 SQL: dict[str, str] = {}
