@@ -14,6 +14,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from weftline.llm.common import held_out, mix, slices
 
@@ -219,3 +220,23 @@ def predict(docs: DataFrame, model: Crf, id_col: str = "doc_id", text_col: str =
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), held_out(F.col(id_col)).alias("held_out"), F.col(text_col).alias("text"))
     return rows.mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double")
+
+
+def annotate(docs: DataFrame, model: Crf, text_col: str = "text") -> DataFrame:
+    """``docs`` with ``lang_pred`` and ``lang_score``, which replace columns of these names; rows and other columns stay."""
+    kept = docs.drop("lang_pred", "lang_score")
+    known = docs.sparkSession.sparkContext.broadcast((model.langs, model.weights, model.trans))
+    state: dict[str, Crf] = {}
+    names = [*kept.columns, "lang_pred", "lang_score"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if "crf" not in state:
+            state["crf"] = Crf(*known.value)
+        for whole in batches:
+            for batch in slices(whole, 1024, text_col):
+                got = state["crf"].predict(batch.column(text_col).to_pylist())
+                more = [pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())]
+                yield pa.RecordBatch.from_arrays([*batch.columns, *more], names=names)
+
+    schema = T.StructType([*kept.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("lang_score", T.DoubleType())])
+    return kept.mapInArrow(run, schema)

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm import bpe, chat, decontam, langid, minhash, secrets, suffix, topk, toxicity
+from weftline.llm import bpe, chat, decontam, langid, minhash, secrets, suffix, topk, toxicity, urlfilter
 from weftline.llm.common import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -31,6 +31,20 @@ def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digest(chat.format_turns(rows.unionByName(more)))
 
 
+#: The rules that this query is registered with.
+URL_RULES = (
+    urlfilter.Rule("com/en/", "block"),
+    urlfilter.Rule("example.com/en/7", "allow"),
+    urlfilter.Rule("net/de/", "allow"),
+    urlfilter.Rule("example.net/de/8", "block"),
+    urlfilter.Rule("org/es/", "block"),
+)
+
+
+def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urlfilter.judge(read_table(spark, sf_dir, "pages"), URL_RULES)
+
+
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix.remove_repeats(read_table(spark, sf_dir, "documents"), length=100, digest=True)
 
@@ -62,6 +76,7 @@ QUERIES: dict[str, Query] = {
     "op1_bpe": op1_bpe,
     "op2_decontamination": op2_decontamination,
     "op3_chat_format": op3_chat_format,
+    "op4_url_filter": op4_url_filter,
     "op5_suffix_dedup": op5_suffix_dedup,
     "op6_top_k": op6_top_k,
     "op7_toxicity": op7_toxicity,
