@@ -87,6 +87,15 @@ QUERIES: dict[str, Query] = {
 SQL: dict[str, str] = {}
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
+QUERIES["pipeline"] = pipeline
+
+
 def all_queries() -> dict[str, Query]:
     return dict(QUERIES)
 
