@@ -384,14 +384,16 @@ def remove_repeats(docs: DataFrame, length: int = 100, gram: int = GRAM, hot: in
     reach = length - gram
     span = [F.greatest(F.lit(0), F.col("pos") - reach).alias("lo"), (F.col("pos") + length).alias("hi")]
     again = first.where("more").select("h", "c", F.struct("doc", "tie", "pos").alias("f"))
+    # Each table is written by itself, so that the shuffle behind it is gone before the next.
     whole = places.join(again, ["h", "c"]).where(F.struct("doc", "tie", "pos") != F.col("f")).select("doc", "tie", *span)
+    whole = materialise(whole.groupBy("doc", "tie").agg(F.collect_set(F.struct("lo", "hi")).alias("gone")))
 
     several = first.groupBy("h").agg(F.count("*").alias("contexts")).where("contexts > 1")
     mixed = first.join(several, "h").groupBy("doc", "tie", (F.col("contexts") > hot).alias("hot")).agg(F.collect_list(F.struct("pos", "h")).alias("at"))
     mixed = materialise(mixed)
     texts = keyed.select("doc", "tie", "text")
     parts = [_sorted_repeats, _counted_repeats] if not mixed.where("hot").isEmpty() else [_sorted_repeats]
-    spans = whole
+    spans = whole.select("doc", "tie", F.inline("gone"))
     for solve, is_hot in zip(parts, (False, True), strict=False):
         spans = spans.union(solve(texts.join(mixed.where(F.col("hot") == is_hot), ["doc", "tie"]).select("doc", "tie", "text", "at"), length, gram))
     spans = materialise(spans.groupBy("doc", "tie").agg(F.collect_set(F.struct("lo", "hi")).alias("gone")))
