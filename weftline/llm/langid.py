@@ -26,6 +26,8 @@ BITS, GRAMS, AFFIX = 15, (2, 3, 4), 4
 EPOCHS, RATE, DECAY = 4, 0.3, 1e-6
 #: Words kept with their features' sums by each worker; beyond this the memory starts anew.
 CACHE = 200_000
+#: New words whose features are made at a time.
+NEW = 8192
 UNKNOWN = "und"
 _WORD = regex.compile(r"\p{L}[\p{L}\p{M}]*")
 
@@ -109,11 +111,13 @@ class Crf:
         if len(self.cache) > CACHE:
             self.cache, self.table = {}, self.table[:0]
         new = [w for w in dict.fromkeys(words) if w not in self.cache]
+        sums = [self.table]
+        for low in range(0, len(new), NEW):
+            key, count = features(new[low : low + NEW])
+            sums.append(np.add.reduceat(self.weights[key], np.cumsum(count) - count, axis=0))
         if new:
-            key, count = features(new)
-            sums = np.add.reduceat(self.weights[key], np.cumsum(count) - count, axis=0)
             self.cache.update(zip(new, range(len(self.table), len(self.table) + len(new)), strict=True))
-            self.table = np.concatenate([self.table, sums])
+            self.table = np.concatenate(sums)
         return self.table[np.fromiter(map(self.cache.__getitem__, words), dtype=np.int64, count=len(words))]
 
     def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
@@ -213,7 +217,7 @@ def predict(docs: DataFrame, model: Crf, id_col: str = "doc_id", text_col: str =
         if "crf" not in state:
             state["crf"] = Crf(*known.value)
         for whole in batches:
-            for batch in slices(whole, 1024):
+            for batch in slices(whole, 1024, limit=2 << 20):
                 got = state["crf"].predict(batch.column("text").to_pylist())
                 cols = [batch.column("doc_id"), batch.column("held_out"), pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())]
                 yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "held_out", "lang_pred", "score"])
@@ -233,7 +237,7 @@ def annotate(docs: DataFrame, model: Crf, text_col: str = "text") -> DataFrame:
         if "crf" not in state:
             state["crf"] = Crf(*known.value)
         for whole in batches:
-            for batch in slices(whole, 1024, text_col):
+            for batch in slices(whole, 1024, text_col, limit=2 << 20):
                 got = state["crf"].predict(batch.column(text_col).to_pylist())
                 more = [pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())]
                 yield pa.RecordBatch.from_arrays([*batch.columns, *more], names=names)
