@@ -28,6 +28,7 @@ EXACT = float(2**53)
 MOST = 2**63 - 1
 
 
+@np.errstate(over="ignore", invalid="ignore")
 def statistics(x: np.ndarray, segments: int) -> np.ndarray:
     """Means and deviations of each row's segments, scaled so that their inner product bounds that of the rows."""
     edges = np.linspace(0, x.shape[1], min(segments, x.shape[1]) + 1).astype(int)
@@ -52,7 +53,8 @@ class Search:
     def __init__(self, ids: np.ndarray, x: np.ndarray, k: int):
         self.ids, self.x, self.k = ids, x, k
         self.levels = [statistics(x, n) for n in LEVELS] if x.shape[1] else []
-        self.norm = np.sqrt((x * x).sum(axis=1))
+        with np.errstate(over="ignore"):
+            self.norm = np.sqrt((x * x).sum(axis=1))
         self.least = np.full(len(ids), -np.inf)  # of the k-th best score
         self.best: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0, dtype=np.int64),) * 2] * len(ids)
         self.pairs = self.exact = 0
@@ -64,6 +66,7 @@ class Search:
             for b in range(0, len(self.ids), QUERY_BLOCK):
                 self._block(b, min(b + QUERY_BLOCK, len(self.ids)), ids[a : a + ROW_BLOCK], part, stats)
 
+    @np.errstate(over="ignore", invalid="ignore")
     def _block(self, low: int, high: int, ids: np.ndarray, x: np.ndarray, stats: list[np.ndarray]) -> None:
         least = self.least[low:high]
         alive = self.ids[low:high, None] != ids[None, :]
@@ -73,7 +76,7 @@ class Search:
         for level, mine in zip(self.levels, stats, strict=True):
             rows, cols = np.flatnonzero(alive.any(axis=1)), np.flatnonzero(alive.any(axis=0))
             cell = np.ix_(rows, cols)
-            alive[cell] &= level[low:high][rows] @ mine[cols].T >= least_and_slack[cell]
+            alive[cell] &= ~(level[low:high][rows] @ mine[cols].T < least_and_slack[cell])  # a bound that overflows gives nothing up
         rows, cols = np.flatnonzero(alive.any(axis=1)), np.flatnonzero(alive.any(axis=0))
         self.exact += int(alive.sum())
         if not len(rows):
