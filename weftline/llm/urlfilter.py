@@ -134,6 +134,8 @@ class Trees:
         self.depth, self.trees = depth, []
         mean = min(max(float(y.mean()) if len(y) else 0.5, 1e-3), 1 - 1e-3)
         self.base = math.log(mean / (1 - mean))
+        if not len(y):
+            return
         cuts = [np.unique(np.quantile(x[:, f], np.linspace(0, 1, bins + 1)[1:-1])) for f in range(x.shape[1])]
         raw = np.full(len(y), self.base)
         for _ in range(rounds):
