@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm import bpe, chat, decontam, langid, minhash, secrets, suffix, topk, toxicity, urlfilter
+from weftline.llm import bpe, chat, decontam, langid, minhash, oracles, secrets, suffix, topk, toxicity, urlfilter
 from weftline.llm.common import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -84,7 +84,13 @@ QUERIES: dict[str, Query] = {
     "op9_language_id": op9_language_id,
     "op10_secret_scan": op10_secret_scan,
 }
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op2_decontamination": oracles.DECONTAMINATION,
+    "op3_chat_format": oracles.CHAT,
+    "op6_top_k": oracles.TOP_K,
+    "op8_near_duplicates": oracles.NEAR_DUPLICATES,
+    "op10_secret_scan": oracles.SECRET_SCAN,
+}
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
