@@ -39,7 +39,15 @@ def materialise(df: DataFrame) -> DataFrame:
     path = f"{shared_dir(spark)}/weftline/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     free_shuffles(spark)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._materialised_at = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete the files of tables that ``materialise`` returned and that nothing reads any more."""
+    for df in tables:
+        _delete(df.sparkSession, df._materialised_at)
 
 
 def free_shuffles(spark: SparkSession) -> None:
@@ -50,7 +58,11 @@ def free_shuffles(spark: SparkSession) -> None:
 
 def release(spark: SparkSession) -> None:
     """Delete every table that ``materialise`` wrote for this application."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/weftline/{spark.sparkContext.applicationId}")
+    _delete(spark, f"{shared_dir(spark)}/weftline/{spark.sparkContext.applicationId}")
+
+
+def _delete(spark: SparkSession, name: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(name)
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.common import materialise, mix, slices
+from weftline.llm.common import discard, materialise, mix, slices
 
 #: Bytes of the pieces that anchors are chosen from.
 GRAM = 32
@@ -379,8 +379,8 @@ def remove_repeats(docs: DataFrame, length: int = 100, gram: int = GRAM, hot: in
     keyed = rows.select(F.coalesce("doc_id", F.lit(LAST)).alias("doc"), tie.alias("tie"), "text", "doc_id")
 
     places = materialise(_places(keyed.select("doc", "tie", "text"), length, gram, bits))
-    first = places.groupBy("h", "c").agg(F.min(F.struct("doc", "tie", "pos")).alias("f"), F.max(F.struct("doc", "tie", "pos")).alias("l"))
-    first = materialise(first.select("h", "c", "f.*", (F.col("f") != F.col("l")).alias("more")))
+    first = places.groupBy("h", "c").agg(F.min(F.struct("doc", "tie", "pos")).alias("f"), F.count("*").alias("n"))
+    first = materialise(first.select("h", "c", "f.*", (F.col("n") > 1).alias("more")))
     reach = length - gram
     span = [F.greatest(F.lit(0), F.col("pos") - reach).alias("lo"), (F.col("pos") + length).alias("hi")]
     again = first.where("more").select("h", "c", F.struct("doc", "tie", "pos").alias("f"))
@@ -391,12 +391,14 @@ def remove_repeats(docs: DataFrame, length: int = 100, gram: int = GRAM, hot: in
     several = first.groupBy("h").agg(F.count("*").alias("contexts")).where("contexts > 1")
     mixed = first.join(several, "h").groupBy("doc", "tie", (F.col("contexts") > hot).alias("hot")).agg(F.collect_list(F.struct("pos", "h")).alias("at"))
     mixed = materialise(mixed)
+    discard(places, first)
     texts = keyed.select("doc", "tie", "text")
     parts = [_sorted_repeats, _counted_repeats] if not mixed.where("hot").isEmpty() else [_sorted_repeats]
     spans = whole.select("doc", "tie", F.inline("gone"))
     for solve, is_hot in zip(parts, (False, True), strict=False):
         spans = spans.union(solve(texts.join(mixed.where(F.col("hot") == is_hot), ["doc", "tie"]).select("doc", "tie", "text", "at"), length, gram))
     spans = materialise(spans.groupBy("doc", "tie").agg(F.collect_set(F.struct("lo", "hi")).alias("gone")))
+    discard(whole, mixed)
 
     def run(batches):
         for whole_batch in batches:
