@@ -55,7 +55,8 @@ class Search:
         self.levels = [statistics(x, n) for n in LEVELS] if x.shape[1] else []
         with np.errstate(over="ignore"):
             self.norm = np.sqrt((x * x).sum(axis=1))
-        self.least = np.full(len(ids), -np.inf)  # of the k-th best score
+        self.low = np.full(len(ids), -MOST - 1)  # the k-th best score
+        self.least = np.full(len(ids), -np.inf)  # the same for bounds
         self.best: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0, dtype=np.int64),) * 2] * len(ids)
         self.pairs = self.exact = 0
 
@@ -82,14 +83,14 @@ class Search:
         if not len(rows):
             return
         got = scores(self.x[low:high][rows], x[cols])
-        fits = alive[np.ix_(rows, cols)] & (got >= least[rows][:, None])
+        fits = alive[np.ix_(rows, cols)] & (got >= self.low[low:high][rows][:, None])
         for n in np.flatnonzero(fits.any(axis=1)).tolist():
             i, new = low + int(rows[n]), np.flatnonzero(fits[n])
             s, r = np.concatenate([self.best[i][0], got[n, new]]), np.concatenate([self.best[i][1], ids[cols[new]]])
             keep = np.lexsort((r, -s))[: self.k]
             self.best[i] = s[keep], r[keep]
             if len(keep) == self.k:
-                self.least[i] = s[keep[-1]]
+                self.low[i] = self.least[i] = s[keep[-1]]
 
 
 def clean(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
