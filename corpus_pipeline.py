@@ -14,14 +14,17 @@ from pyspark.sql import functions as F
 from weftline.llm import bpe, decontam, langid, minhash, secrets
 from weftline.llm.common import read_table, shared_dir
 
-#: A text whose words are, on the mean, less likely than this to be of the language that is likeliest is rejected.
-LEAST_SCORE = 0.5
-
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep texts with a recognised language, and write it into ``lang``; texts without letters and mixtures go."""
+    """Write the likeliest language into ``lang``; only null texts and texts without letters go, and mixtures stay.
+
+    Where no language could be learned, all rows stay as they are.
+    """
     model = langid.train(docs)
-    told = langid.annotate(docs, model).where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("lang_score") >= LEAST_SCORE))
+    if not model.langs:
+        return docs
+    # Only a text without letters has score 0; a learned language may be called ``und``.
+    told = langid.annotate(docs, model).where("lang_score > 0")
     return told.select(*[F.col("lang_pred").alias(c) if c == "lang" else F.col(c) for c in docs.columns])
 
 

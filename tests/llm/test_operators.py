@@ -14,6 +14,7 @@ import pytest
 import tiktoken
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from weftline.llm import bpe, chat, decontam, graph, langid, minhash, queries, secrets, suffix, topk, toxicity, urlfilter
 
@@ -512,3 +513,24 @@ def test_pipeline(spark):
     assert set(kept[3]) == clean and all(not brute_secrets(t) for t in kept[3].values())
     out = corpus_pipeline.run(spark, SF)
     assert {r.doc_id for r in out.collect()} == clean
+
+
+def test_language_stage_keeps_mixtures(spark):
+    import corpus_pipeline
+
+    said = {"en": "the and of that with this from have", "de": "der und nicht auch eine wird sich nach", "fr": "les dans pour avec cette sont mais vous"}
+    rows = [(100 * k + i, f"{said[lang]} " * 3, lang) for k, lang in enumerate(said) for i in range(40)]
+    mixed = [(1000, " ".join(said.values()), None), (1001, " ".join([*said.values()] * 40), None), (1002, f"{said['en']} {said['de']}", None)]
+    bare = [(1003, None, "en"), (1004, "", None), (1005, "12 !?", "de"), (None, " ", None)]
+    docs = spark.createDataFrame([*rows, *mixed, *bare], "doc_id long, text string, lang string")
+    kept = {r.doc_id: r.lang for r in corpus_pipeline.language(spark, docs, SF).collect()}
+    assert set(kept) == {r[0] for r in [*rows, *mixed]} and all(kept[i] == lang for i, _, lang in rows)
+    assert {kept[i] for i, *_ in mixed} <= set(said)
+    # A language that is called as texts without one are is a language.
+    named = docs.where("lang = 'fr' or doc_id >= 1003").withColumn("lang", F.lit(langid.UNKNOWN))
+    assert {r.doc_id for r in corpus_pipeline.language(spark, named, SF).collect()} == {r[0] for r in rows if r[2] == "fr"}
+    # Nothing to learn from: no labels, or all of them held out.
+    unlabelled = docs.withColumn("lang", F.lit(None).cast("string"))
+    held = docs.withColumn("lang", F.when(langid.held_out(F.col("doc_id")), F.col("lang")))
+    for nothing in (unlabelled, held):
+        assert Counter(map(tuple, corpus_pipeline.language(spark, nothing, SF).collect())) == Counter(map(tuple, nothing.collect()))
