@@ -409,6 +409,25 @@ def test_language_id(spark):
     assert more.columns == ["doc_id", "text", "lang", "source", "lang_pred", "lang_score"] and more.where("lang_score > 1").count() == 0
 
 
+def test_every_language_is_learned(spark, monkeypatch):
+    rng = random.Random(9)
+    words = {f"l{k:02}": ["".join(rng.choice("abcdefghijklmnop") for _ in range(6)) for _ in range(8)] for k in range(30)}
+    # As many rows of a language as its number; the rarest have one that is not held out.
+    free = (i for i in range(10_000) if zlib.crc32(str(i).encode()) % 4 != 2)
+    rows = [(next(free), " ".join(rng.choices(words[lang], k=20)), lang) for k, lang in enumerate(words) for _ in range(k + 1)]
+    docs = spark.createDataFrame([*rows, rows[-1]], "doc_id long, text string, lang string")
+    model = langid.train(docs)
+    assert model.langs == sorted(words)
+    texts = [" ".join(rng.choices(words[lang], k=20)) for lang in model.langs]
+    assert [lang for lang, _ in model.predict(texts)] == model.langs
+    # The rows for each follow from the number of languages.
+    got = []
+    monkeypatch.setattr(langid, "learn", lambda texts, labels: got.append(Counter(labels)))
+    for most, each in ((3000, 100), (300, 10), (30, langid.LEAST_ROWS)):
+        langid.train(docs, rows=most)
+        assert got.pop() == {lang: min(k + 1, each) for k, lang in enumerate(words)}
+
+
 # 10
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)

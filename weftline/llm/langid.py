@@ -12,14 +12,15 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from weftline.llm.common import held_out, mix, slices
 
-#: Labelled rows to learn from: at most so many of each language and of all, those with the smallest hash of their id.
-ROWS_EACH, ROWS = 150, 3000
+#: Labelled rows to learn from, those with the smallest hash of their id: at most so many of each language, and of all.  Every language
+#: has its share, of so many rows at least, however many languages there are.
+ROWS_EACH, ROWS, LEAST_ROWS = 150, 3000, 5
 #: Words of each learned text and step; a text of more words gives several sequences.
 SEQUENCE = 256
 BITS, GRAMS, AFFIX = 15, (2, 3, 4), 4
@@ -28,6 +29,8 @@ EPOCHS, RATE, DECAY = 4, 0.3, 1e-6
 CACHE = 200_000
 #: New words whose features are made at a time.
 NEW = 8192
+#: With more languages than these, fewer words are kept and made at a time.
+FEW = 4
 UNKNOWN = "und"
 _WORD = regex.compile(r"\p{L}[\p{L}\p{M}]*")
 
@@ -70,6 +73,21 @@ def features(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return (mix(key[order]) >> np.uint64(64 - BITS)).astype(np.int64), np.bincount(who, minlength=len(words))
 
 
+def _share(most: int, langs: int) -> int:
+    return max(1, most * FEW // max(FEW, langs))
+
+
+def _emissions(weights: np.ndarray, key: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """Sums of the weights of each word's features."""
+    end = np.cumsum(count)
+    start = end - count
+    out, step = np.empty((len(count), weights.shape[1])), _share(NEW, weights.shape[1])
+    for low in range(0, len(count), step):
+        some = start[low : low + step]
+        out[low : low + step] = np.add.reduceat(weights[key[some[0] : end[low + len(some) - 1]]], some - some[0], axis=0)
+    return out
+
+
 def forward_backward(emit: np.ndarray, size: np.ndarray, trans: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Chances of each language at each word of padded sequences, and expected transitions; all in scaled probabilities.
 
@@ -96,9 +114,9 @@ def forward_backward(emit: np.ndarray, size: np.ndarray, trans: np.ndarray) -> t
     chance /= chance.sum(axis=2, keepdims=True)
     inside = np.arange(width) < size[:, None]
     pair = inside[:, 1:]
-    p = alpha[:, :-1][pair][:, :, None] * move[None] * (e[:, 1:] * beta[:, 1:])[pair][:, None, :]
-    p /= p.sum(axis=(1, 2), keepdims=True)
-    return chance * inside[:, :, None], p.sum(axis=0)
+    before, after = alpha[:, :-1][pair], (e[:, 1:] * beta[:, 1:])[pair]
+    after /= ((before @ move) * after).sum(axis=1, keepdims=True)
+    return chance * inside[:, :, None], move * (before.T @ after)
 
 
 class Crf:
@@ -108,13 +126,13 @@ class Crf:
         self.table = np.zeros((0, len(langs)))
 
     def emissions(self, words: list[str]) -> np.ndarray:
-        if len(self.cache) > CACHE:
+        if len(self.cache) > _share(CACHE, len(self.langs)):
             self.cache, self.table = {}, self.table[:0]
         new = [w for w in dict.fromkeys(words) if w not in self.cache]
         sums = [self.table]
         for low in range(0, len(new), NEW):
             key, count = features(new[low : low + NEW])
-            sums.append(np.add.reduceat(self.weights[key], np.cumsum(count) - count, axis=0))
+            sums.append(_emissions(self.weights, key, count))
         if new:
             self.cache.update(zip(new, range(len(self.table), len(self.table) + len(new)), strict=True))
             self.table = np.concatenate(sums)
@@ -133,8 +151,9 @@ class Crf:
         parts = [(i, a, min(a + SEQUENCE, int(n))) for i, n in enumerate(sizes) for a in range(0, int(n), SEQUENCE)]
         sums = np.zeros((len(texts), len(self.langs)))
         parts.sort(key=lambda p: p[2] - p[1])
-        for low in range(0, len(parts), 256):
-            some = parts[low : low + 256]
+        rows = _share(256, len(self.langs))
+        for low in range(0, len(parts), rows):
+            some = parts[low : low + rows]
             size = np.array([min(b + 8, sizes[i]) - max(a - 8, 0) for i, a, b in some])
             pad = np.zeros((len(some), int(size.max()), len(self.langs)))
             for k, (i, a, b) in enumerate(some):
@@ -166,7 +185,7 @@ def learn(texts: list[str], labels: list[str]) -> Crf:
             some = [seqs[k] for k in order[low : low + 64]]
             words = [w for s, _ in some for w in s]
             key, count = features(words)
-            emit = np.add.reduceat(weights[key], np.cumsum(count) - count, axis=0)
+            emit = _emissions(weights, key, count)
             size = np.array([len(s) for s, _ in some])
             inside = np.arange(int(size.max())) < size[:, None]
             pad = np.zeros((*inside.shape, len(langs)))
@@ -188,16 +207,16 @@ def learn(texts: list[str], labels: list[str]) -> Crf:
 
 
 def train(docs: DataFrame, rows_each: int = ROWS_EACH, rows: int = ROWS) -> Crf:
-    """Learn from a bounded sample of the rows with a language that are not held out; only the languages in it can be told."""
+    """Learn from a sample of the rows of each language that are not held out; only languages with such rows can be told."""
     known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
-    langs = known.groupBy("lang").count().orderBy(F.col("count").desc(), "lang").limit(max(1, rows // rows_each)).collect()
-    ids = None
-    for r in langs:
-        some = known.where(F.col("lang") == r.lang).select("doc_id", "lang").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows_each)
-        ids = some if ids is None else ids.union(some)
-    if ids is None:
+    count = known.select("lang").distinct().count()
+    if not count:
         return Crf([], np.zeros((1 << BITS, 0)), np.zeros((0, 0)))
-    # At most as many rows as the bound are broadcast.
+    each = max(LEAST_ROWS, min(rows_each, rows // count))
+    # Spark keeps so many rows of a language in each task before they meet.
+    first = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
+    ids = known.select("doc_id", "lang").distinct().withColumn("k", first).where(F.col("k") <= each).drop("k")
+    # At most as many rows as the bound, or the least number of each language, are broadcast.
     some = known.select("doc_id", "lang", "text").join(F.broadcast(ids), ["doc_id", "lang"]).groupBy("doc_id", "lang").agg(F.min("text").alias("text"))
     got = sorted((r.lang, r.doc_id, r.text) for r in some.toLocalIterator())
     return learn([t for *_, t in got], [lang for lang, *_ in got])
