@@ -496,6 +496,30 @@ def test_redaction(spark):
     assert got[(2, None)] == 1 and got[(4, SECRETS[3][1])] == 2
 
 
+def test_redaction_of_keys(spark):
+    rng = random.Random(10)
+    body = "\n".join("".join(rng.choices("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", k=64)) for _ in range(25))
+    begin, end, begin_rsa, end_rsa = (f"-----{w} {k}PRIVATE KEY-----" for k in ("", "RSA ") for w in ("BEGIN", "END"))
+    head = "Proc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,0123ABCD\n\n"
+    texts = [
+        (f"a - b\n{begin}\n{body}\nab==\n{end}\nmore - text", "a - b\n[SECRET]\nmore - text"),
+        (f"x {begin_rsa}\n{head}{body}\n{end_rsa} y {begin}\n{body}\n{end} z", "x [SECRET] y [SECRET] z"),
+        (f"k: '{begin}\\n{body[:64]}\\nab=\\n{end}\\n'", "k: '[SECRET]\\n'"),
+        (f"> {begin}\n> {body[:64]}\n> {end}\n", "> [SECRET]\n"),
+        (f"x {begin_rsa}\r\n{head}{body}\nshort", "x [SECRET]"),
+        (f"x {begin}\nAB\nCD", "x [SECRET]"),
+        (f"x {begin}\n{body}\nab==\n\nHere, the text goes on.", "x [SECRET]\n\nHere, the text goes on."),
+        (f"x {begin}\n{body}\n{end_rsa} it, too", f"x [SECRET]\n{end_rsa} it, too"),
+        (f"{begin} starts a key, as one reads.", "[SECRET] starts a key, as one reads."),
+        (f"{begin}\n" + "-a" * 100_000 + f"\n{end}!", "[SECRET]!"),
+        (f"{begin}\n" + f"{body}\n" * 200 + "the end.", "[SECRET]\nthe end."),
+    ]
+    out = {r.doc_id: r.text for r in secrets.redact_documents(documents(spark, [(k, t) for k, (t, _) in enumerate(texts)])).collect()}
+    assert [out[k] for k in range(len(texts))] == [want for _, want in texts]
+    # What was scanned for lines is scanned for keys, as their version is another.
+    assert len({(r.kind, r.version) for r in secrets.RULES + secrets.REDACTED}) == len(secrets.RULES) + 1
+
+
 # All
 
 

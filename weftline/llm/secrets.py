@@ -40,6 +40,17 @@ MORE = (
     Rule("forge", 1, r"gh[pousr]_[A-Za-z0-9]{36,}", r"gh[pousr]_[A-Za-z0-9]{36,}"),
 )
 RULES = BASE + MORE
+_BEGIN = r"-----BEGIN ((?:[A-Z]+ )?)PRIVATE KEY-----"
+#: What a key spans: up to the matching END line; else base64 up to the end of the text; else as far as long pieces of base64 go, so that
+#: other text after a cut key or a mere mention stays.  Header lines of a key may stand first, and line feeds may be written as ``\\n``.
+#: Repeated groups are possessive, which Java matches without recursion.
+_GAP, _HEADER = r"(?:\s|\\[nr])", r"(?:Proc-Type|DEK-Info):[^\r\n\\]*+"
+_KEY = (
+    rf"{_BEGIN}(?:(?:[^-]++|-(?!----))*+-----END \1PRIVATE KEY-----"
+    rf"|(?:{_GAP}++{_HEADER})*+(?:(?:{_GAP}|[A-Za-z0-9+/=])*+\z|(?:{_GAP}++[A-Za-z0-9+/=]{{16,}}+)*+(?:{_GAP}++[A-Za-z0-9+/]*+={{1,2}})?))"
+)
+#: What redaction covers: a finding of ``pem`` in the scan is the key's BEGIN line alone, and here it is the whole key.
+REDACTED = tuple(Rule("pem", 2, _KEY, r.gate) if r.kind == "pem" else r for r in RULES)
 
 SPAN = "struct<start:bigint,rank:int,kind:string,end:bigint>"
 
@@ -139,7 +150,7 @@ def redact(text: Column, spans: Column, mark: str = "[SECRET]") -> Column:
     return F.when(F.size(spans) > 0, keep).otherwise(text)
 
 
-def redact_documents(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+def redact_documents(docs: DataFrame, rules: tuple[Rule, ...] = REDACTED) -> DataFrame:
     """Every row of ``docs`` with the secrets in ``text`` replaced; all other columns stay as they are."""
     paths, _, _ = scan(docs.select("doc_id", "text"), rules)
     spans = paths.where(F.size("spans") > 0).select(F.col("blob").alias("__blob"), F.col("spans").alias("__spans")).distinct()
