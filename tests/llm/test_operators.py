@@ -409,6 +409,23 @@ def test_language_id(spark):
     assert more.columns == ["doc_id", "text", "lang", "source", "lang_pred", "lang_score"] and more.where("lang_score > 1").count() == 0
 
 
+def test_long_texts_are_one_chain():
+    """Texts of weak and unknown words, in which one language holds on over many words, against the uncut chain."""
+    rng = np.random.default_rng(7)
+    model = langid.Crf(["a", "b", "c"], rng.normal(size=(1 << langid.BITS, 3)) * 0.02, np.eye(3) * 6)
+    words = ["".join(chr(97 + c) for c in rng.integers(0, 26, 5)) for _ in range(400)]
+    sizes = [0, 1, 255, 256, 257, 264, 512, 513, 3000, 1, 700]
+    texts = [" ".join(words[k] for k in rng.integers(0, 400, n)) for n in sizes]
+    for text, (lang, score) in zip(texts, model.predict(texts), strict=True):
+        if text:
+            key, count = langid.features(text.split())
+            emit = np.add.reduceat(model.weights[key], np.cumsum(count) - count, axis=0)[None]
+            chance = langid.forward_backward(emit, np.array([emit.shape[1]]), model.trans)[0][0].mean(axis=0)
+            assert lang == model.langs[int(chance.argmax())] and abs(score - chance.max()) < 1e-9
+        else:
+            assert (lang, score) == (langid.UNKNOWN, 0)
+
+
 def test_every_language_is_learned(spark, monkeypatch):
     rng = random.Random(9)
     words = {f"l{k:02}": ["".join(rng.choice("abcdefghijklmnop") for _ in range(6)) for _ in range(8)] for k in range(30)}

@@ -21,7 +21,7 @@ from weftline.llm.common import held_out, mix, slices
 #: Labelled rows to learn from, those with the smallest hash of their id: at most so many of each language, and of all.  Every language
 #: has its share, of so many rows at least, however many languages there are.
 ROWS_EACH, ROWS, LEAST_ROWS = 150, 3000, 5
-#: Words of each learned text and step; a text of more words gives several sequences.
+#: Words of each step.  A learned text of more words gives several sequences; a predicted one is one chain all the same.
 SEQUENCE = 256
 BITS, GRAMS, AFFIX = 15, (2, 3, 4), 4
 EPOCHS, RATE, DECAY = 4, 0.3, 1e-6
@@ -88,31 +88,43 @@ def _emissions(weights: np.ndarray, key: np.ndarray, count: np.ndarray) -> np.nd
     return out
 
 
-def forward_backward(emit: np.ndarray, size: np.ndarray, trans: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Chances of each language at each word of padded sequences, and expected transitions; all in scaled probabilities.
+def _scaled(emit: np.ndarray, trans: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return np.exp(emit - emit.max(axis=2, keepdims=True)), np.exp(trans - trans.max())
 
-    ``emit``: sequences x words x languages, in logarithms; ``size``: words of each sequence.
-    """
-    rows, width, langs = emit.shape
-    e = np.exp(emit - emit.max(axis=2, keepdims=True))
-    move = np.exp(trans - trans.max())
-    alpha, beta = np.empty_like(e), np.empty_like(e)
-    a = e[:, 0] / e[:, 0].sum(axis=1, keepdims=True)
-    alpha[:, 0] = a
-    for t in range(1, width):
-        a = (a @ move) * e[:, t]
-        a /= a.sum(axis=1, keepdims=True)
+
+def _forward(e: np.ndarray, move: np.ndarray, a: np.ndarray | None) -> np.ndarray:
+    """Chances given the words up to each; ``a``: those at the word before the first, where there is one."""
+    alpha = np.empty_like(e)
+    for t in range(e.shape[1]):
+        a = e[:, t] if a is None else (a @ move) * e[:, t]
+        a = a / a.sum(axis=1, keepdims=True)
         alpha[:, t] = a
-    b = np.full((rows, langs), 1.0 / langs)
-    beta[:, width - 1] = b
-    for t in range(width - 2, -1, -1):
+    return alpha
+
+
+def _backward(e: np.ndarray, move: np.ndarray, size: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """What the words behind each say of its language; ``b``: that at the last word of sequences of full width."""
+    beta = np.empty_like(e)
+    beta[:, -1] = b
+    for t in range(e.shape[1] - 2, -1, -1):
         b = (e[:, t + 1] * b) @ move.T
         b /= b.sum(axis=1, keepdims=True)
-        b = np.where((t >= size - 1)[:, None], 1.0 / langs, b)
+        b = np.where((t >= size - 1)[:, None], 1.0 / e.shape[2], b)
         beta[:, t] = b
+    return beta
+
+
+def forward_backward(emit: np.ndarray, size: np.ndarray, trans: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Chances of each language at each word of padded sequences, and expected transitions; all in scaled probabilities.
+
+    ``emit``: sequences x words x languages, in logarithms; ``size``: words of each sequence.
+    """
+    e, move = _scaled(emit, trans)
+    alpha = _forward(e, move, None)
+    beta = _backward(e, move, size, np.full((len(e), e.shape[2]), 1.0 / e.shape[2]))
     chance = alpha * beta
     chance /= chance.sum(axis=2, keepdims=True)
-    inside = np.arange(width) < size[:, None]
+    inside = np.arange(e.shape[1]) < size[:, None]
     pair = inside[:, 1:]
     before, after = alpha[:, :-1][pair], (e[:, 1:] * beta[:, 1:])[pair]
     after /= ((before @ move) * after).sum(axis=1, keepdims=True)
@@ -125,7 +137,8 @@ class Crf:
         self.cache: dict[str, int] = {}
         self.table = np.zeros((0, len(langs)))
 
-    def emissions(self, words: list[str]) -> np.ndarray:
+    def rows(self, words: list[str]) -> np.ndarray:
+        """The row of ``table`` with each word's sums."""
         if len(self.cache) > _share(CACHE, len(self.langs)):
             self.cache, self.table = {}, self.table[:0]
         new = [w for w in dict.fromkeys(words) if w not in self.cache]
@@ -136,7 +149,40 @@ class Crf:
         if new:
             self.cache.update(zip(new, range(len(self.table), len(self.table) + len(new)), strict=True))
             self.table = np.concatenate(sums)
-        return self.table[np.fromiter(map(self.cache.__getitem__, words), dtype=np.int64, count=len(words))]
+        return np.fromiter(map(self.cache.__getitem__, words), dtype=np.int64, count=len(words))
+
+    def sums(self, row: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """Summed chances of each language over the words of texts, each of which is one chain; longer texts stand first.
+
+        The chains are read in stretches: forward, of which only the chances at their ends are kept, and then back, with
+        each stretch's forward chances made again from the end of the one before.  So a long text takes no more memory.
+        """
+        langs = len(self.langs)
+
+        def stretch(a: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            n = np.minimum(size[size > a] - a, SEQUENCE)
+            inside = np.arange(int(n.max())) < n[:, None]
+            pad = np.zeros((*inside.shape, langs))
+            pad[inside] = self.table[row[(start[: len(n), None] + a + np.arange(inside.shape[1]))[inside]]]
+            return (*_scaled(pad, self.trans), n)
+
+        ends, starts = [None], range(0, int(size.max()), SEQUENCE)
+        for a in starts[:-1]:
+            e, move, n = stretch(a)
+            last = ends[-1] if a == 0 else ends[-1][: len(n)]
+            ends.append(_forward(e, move, last)[:, -1])
+        out, behind = np.zeros((len(size), langs)), np.zeros((0, langs))
+        for a, before in zip(reversed(starts), reversed(ends), strict=True):
+            e, move, n = stretch(a)
+            b = np.full((len(n), langs), 1.0 / langs)
+            b[: len(behind)] = behind
+            beta = _backward(e, move, n, b)
+            chance = _forward(e, move, None if before is None else before[: len(n)]) * beta
+            chance /= chance.sum(axis=2, keepdims=True)
+            out[: len(n)] += (chance * (np.arange(e.shape[1]) < n[:, None])[:, :, None]).sum(axis=1)
+            behind = (e[:, 0] * beta[:, 0]) @ move.T
+            behind /= behind.sum(axis=1, keepdims=True)
+        return out
 
     def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
         """Language and its mean chance of each text; ``und`` and 0 without letters."""
@@ -144,24 +190,15 @@ class Crf:
         out: list[tuple[str, float]] = [(UNKNOWN, 0.0)] * len(texts)
         if not self.langs:
             return out
-        emit = self.emissions([w for words in cut for w in words])
-        sizes = np.array([len(words) for words in cut])
+        row = self.rows([w for words in cut for w in words])
+        sizes = np.array([len(words) for words in cut], dtype=np.int64)
         starts = np.cumsum(sizes) - sizes
-        # Long texts are read in stretches with enough words around them that their ends don't matter.
-        parts = [(i, a, min(a + SEQUENCE, int(n))) for i, n in enumerate(sizes) for a in range(0, int(n), SEQUENCE)]
         sums = np.zeros((len(texts), len(self.langs)))
-        parts.sort(key=lambda p: p[2] - p[1])
-        rows = _share(256, len(self.langs))
-        for low in range(0, len(parts), rows):
-            some = parts[low : low + rows]
-            size = np.array([min(b + 8, sizes[i]) - max(a - 8, 0) for i, a, b in some])
-            pad = np.zeros((len(some), int(size.max()), len(self.langs)))
-            for k, (i, a, b) in enumerate(some):
-                pad[k, : size[k]] = emit[starts[i] + max(a - 8, 0) : starts[i] + min(b + 8, sizes[i])]
-            chance, _ = forward_backward(pad, size, self.trans)
-            for k, (i, a, b) in enumerate(some):
-                skip = a - max(a - 8, 0)
-                sums[i] += chance[k, skip : skip + b - a].sum(axis=0)
+        order = np.argsort(-sizes, kind="stable")[: int((sizes > 0).sum())]
+        step = _share(256, len(self.langs))
+        for low in range(0, len(order), step):
+            some = order[low : low + step]
+            sums[some] = self.sums(row, starts[some], sizes[some])
         for i, n in enumerate(sizes):
             if n:
                 best = int(sums[i].argmax())
