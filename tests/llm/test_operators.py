@@ -2,6 +2,7 @@
 
 import hashlib
 import itertools
+import math
 import random
 import re
 import zlib
@@ -16,7 +17,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from weftline.llm import bpe, chat, decontam, graph, langid, minhash, queries, secrets, suffix, topk, toxicity, urlfilter
+from weftline.llm import bpe, chat, common, decontam, graph, langid, minhash, queries, secrets, suffix, topk, toxicity, urlfilter
 
 SF = "/root/testdata/sf0.001"
 PATH = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -317,8 +318,10 @@ def brute_groups(rows, size, num, den):
 @pytest.mark.parametrize(("size", "num", "block"), [(3, 85, 512), (5, 80, 512), (3, 85, 3)])
 def test_near_duplicates(spark, real, monkeypatch, size, num, block):
     monkeypatch.setattr(minhash, "BLOCK_DOCS", block)
-    if block == 3:
-        monkeypatch.setattr(minhash, "BROADCAST_ROWS", 0)
+    if block == 3:  # blocks and hot keys on a small table; no band settles anything by itself
+        monkeypatch.setattr(minhash, "BLOCK_NODES", 3)
+        monkeypatch.setattr(minhash, "SHARED", 1000)
+        monkeypatch.setattr(common, "HOT_ROWS", 3)
     rng = random.Random(4)
     base = [f"w{k}" for k in range(160)]
     rows = real[:80]
@@ -333,16 +336,84 @@ def test_near_duplicates(spark, real, monkeypatch, size, num, block):
     assert minhash.near_duplicates(documents(spark, [])).count() == 0
 
 
+def plain_super_minhash(x, places):
+    """The signature with whole permutations, one set at a time."""
+    sig, perm, row = [None] * places, [list(range(places)) for _ in x], range(len(x))
+    for j in range(places):
+        u = minhash.mix(x + np.uint64((j + 1) * 0xD1B54A32D192ED03 & 0xFFFFFFFFFFFFFFFF)).tolist()
+        for i in row:
+            k = j + (u[i] >> 40) % (places - j)
+            perm[i][j], perm[i][k] = perm[i][k], perm[i][j]
+            value = j << 40 | u[i] & (1 << 40) - 1
+            at = perm[i][j]
+            sig[at] = value if sig[at] is None else min(sig[at], value)
+    return sig
+
+
+def test_super_minhash_agrees():
+    rng = np.random.default_rng(5)
+    sets = [np.unique(rng.integers(0, 2**63, n).astype(np.uint64)) for n in (1, 2, 3, 7, 30, 80, 0, 500)]
+    got = minhash.super_minhash(sets, 60)
+    for x, sig in zip(sets, got, strict=True):
+        assert sig.tolist() == (plain_super_minhash(x, 60) if len(x) else [np.iinfo(np.int64).max] * 60)
+
+
 def test_super_minhash_estimates_similarity():
     rng = np.random.default_rng(0)
-    common, a, b = (rng.integers(0, 2**63, n).astype(np.uint64) for n in (60, 20, 20))
+    common_, a, b = (rng.integers(0, 2**63, n).astype(np.uint64) for n in (60, 20, 20))
     same = []
     for seed in range(60):
         salt = np.uint64(seed * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)
-        one, two = (minhash.super_minhash(minhash.mix(np.concatenate([common, x]) + salt), 64) for x in (a, b))
+        one, two = minhash.super_minhash([minhash.mix(np.concatenate([common_, x]) + salt) for x in (a, b)], 64)
         same.append((one == two).mean())
     assert abs(np.mean(same) - 0.6) < 0.03 and np.std(same) < np.sqrt(0.6 * 0.4 / 64)
-    assert (minhash.super_minhash(common[:1], 64) >> 40).max() == 63  # one element fills every place of its permutation
+    assert (minhash.super_minhash([common_[:1]], 64) >> 40).max() == 63  # one element fills every place of its permutation
+    # The bound on agreeing places loses a pair at the threshold with a chance of 1e-9 only.
+    tail = lambda k: sum(math.comb(180, i) * 0.85**i * 0.15 ** (180 - i) for i in range(k))
+    least = minhash.least_matches(0.85, 180)
+    assert tail(least) <= 1e-9 < tail(least + 1) and minhash.least_matches(1.0, 9) == 9
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.integers(1, 14).flatmap(lambda n: st.tuples(st.lists(st.integers(0, n - 1), min_size=n, max_size=n), st.lists(st.tuples(st.integers(0, n - 1), st.integers(0, n - 1)), max_size=12))))
+def test_spanning_links(case):
+    part, links = case
+    n = len(part)
+    m = np.zeros((n, n), dtype=bool)
+    for a, b in links:
+        m[a, b] = m[b, a] = a != b
+    want, got = graph.UnionFind(n), graph.UnionFind(n)
+    for found, pairs in ((want, links), (got, minhash.spanning(lambda i, rest: m[i, rest], np.array(part)))):
+        for a, b in pairs:
+            assert m[a, b] or a == b
+            found.join(a, b)
+        for a in range(n):
+            found.join(a, part.index(part[a]))
+    assert [want.find(a) for a in range(n)] == [got.find(a) for a in range(n)]
+
+
+def test_exact_sets():
+    texts = ["a b c a b c", "A  B\tc", "a b", "b a", "a b c d", "x\x0by z", "é É é"]
+    got = minhash.exact_sets(texts, 3)
+    assert [len(x) for x in got] == [3, 1, 1, 1, 2, 1, 1]
+    assert set(got[1]) < set(got[0]) and set(got[1]) < set(got[4]) and not set(got[2]) & set(got[3]) and not set(got[2]) & set(got[1])
+    assert [len(x) for x in minhash.exact_sets(texts, 5)] == [2, 1, 1, 1, 1, 1, 1]
+
+
+def test_pages_of_a_template_are_not_chained(spark):
+    """Pages of similarity 0.5 share bands with one another, but are no neighbours, so that no page is compared in full."""
+    rng = random.Random(12)
+    shared = [f"t{k}" for k in range(102)]
+
+    def page(k):
+        return " ".join([*shared, *[f"w{rng.randrange(10**9)}" for _ in range(50)]])
+
+    docs = spark.createDataFrame([(k, page(k)) for k in range(2500)], "doc_id long, text string")
+    count = minhash.band_count(0.85)
+    nodes = minhash.signatures(docs, 3, count).select(F.col("doc_id").alias("node"), "n", "bands", "sketch")
+    rows = nodes.select(F.explode("bands").alias("b")).groupBy("b").count().where("count > 1").agg(F.sum("count")).first()[0]
+    assert rows > 2500  # they do share bands
+    assert minhash._neighbours(common.materialise(nodes), minhash.least_matches(0.85, 6 * count), 85, 100).count() == 0
 
 
 def test_components(spark):
@@ -359,6 +430,8 @@ def test_components(spark):
 def test_drop_near_duplicates(spark):
     text = " ".join(f"w{k}" for k in range(100))
     rows = [(2, text), (1, text + " x"), (3, "other words that stand here alone"), (None, text), (4, None)]
+    clash = minhash.drop_near_duplicates(documents(spark, rows).withColumn("gone", F.lit(1)).withColumn("__gone", F.lit(2)))
+    assert clash.columns == ["doc_id", "text", "n_tokens", "component_id", "gone", "__gone"] and clash.count() == 4
     out = minhash.drop_near_duplicates(documents(spark, rows))
     assert out.columns == documents(spark, []).columns and Counter(r.doc_id for r in out.collect()) == Counter([1, 3, None, 4])
 

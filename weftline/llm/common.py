@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -20,25 +19,36 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of our own only where the session names none."""
+    """The folder that driver and executors share.  Where the session names none, one of our own if all runs on this machine."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         current = spark.sparkContext._jsc.sc().getCheckpointDir()
-        folder = current.get() if current.isDefined() else tempfile.mkdtemp(prefix="weftline-")
         if not current.isDefined():
-            spark.sparkContext.setCheckpointDir(folder)
+            if not spark.sparkContext.master.startswith("local"):
+                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+            spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="weftline-"))
+            current = spark.sparkContext._jsc.sc().getCheckpointDir()
+        folder = current.get()
     return folder.rstrip("/")
 
 
+#: With this, Spark deletes the shuffle files of a query as soon as it has ended.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def materialise(df: DataFrame) -> DataFrame:
     """Cut lineage: write ``df`` as Parquet in the shared folder and read it back.
 
-    The files survive the loss of any executor, unlike a local checkpoint.
+    The files survive the loss of any executor, unlike a local checkpoint, and the shuffles behind them are freed.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/weftline/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    free_shuffles(spark)
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
     out = spark.read.schema(df.schema).parquet(path)
     out._materialised_at = path
     return out
@@ -50,10 +60,34 @@ def discard(*tables: DataFrame) -> None:
         _delete(df.sparkSession, df._materialised_at)
 
 
-def free_shuffles(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files of finished jobs, which it does when the driver's garbage is collected."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+#: A key is hot if it has more than so many rows, and more than this part of all rows: so there are fewer hot keys than these.
+HOT_ROWS, HOT_KEYS = 2_000, 50_000
+
+
+def skew_join(rows: DataFrame, keyed: DataFrame, on: list[str], many: str, total: int, how: str = "inner") -> DataFrame:
+    """``rows`` (``total`` of them) with what ``keyed`` has for their keys, none of which gathers in one task.
+
+    ``keyed`` is a table with one row for each key, and in ``many`` at least the number of its rows.  The few keys
+    that can have more than ``total / HOT_KEYS`` rows are broadcast, so that their rows stay where they are; all others
+    meet by a shuffle.  ``how``: inner, or left for rows whose key ``keyed`` lacks.  The columns are those of an ordinary join.
+    """
+    if total <= HOT_ROWS:
+        return rows.join(keyed, on, how)
+    keyed = materialise(keyed)
+    hot = F.col(many) > max(HOT_ROWS, total // HOT_KEYS)
+    few = keyed.where(hot)
+    if few.isEmpty():
+        return rows.join(keyed, on, how)
+    rest = rows.join(F.broadcast(few.select(*on)), on, "left_anti").join(keyed.where(~hot), on, how)
+    return rows.join(F.broadcast(few), on).unionByName(rest)
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """``name``, or that with as many underscores that ``df`` has no such column."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 def release(spark: SparkSession) -> None:

@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.common import materialise
+from weftline.llm.common import discard, materialise, skew_join
 
 
 class UnionFind:
@@ -28,20 +27,6 @@ class UnionFind:
         self.up[max(a, b)] = min(a, b)
 
 
-def roots(adjacent: np.ndarray) -> np.ndarray:
-    """Smallest member of each member's component, of a symmetric matrix of booleans."""
-    n = len(adjacent)
-    out = np.full(n, -1)
-    for seed in range(n):
-        if out[seed] < 0:
-            front = np.zeros(n, dtype=bool)
-            front[seed] = True
-            while front.any():
-                out[front] = seed
-                front = adjacent[front].any(axis=0) & (out < 0)
-    return out
-
-
 def components(edges: DataFrame) -> DataFrame:
     """``node`` and ``root``, the smallest node that it reaches, for each node of ``edges`` (``u``, ``v``) but the roots.
 
@@ -49,14 +34,22 @@ def components(edges: DataFrame) -> DataFrame:
     lost executor costs one round at most.  Equal ends and repeated links are ignored.
     """
     pairs = materialise(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-    while True:
+    while not _stars(pairs):
+        total = 2 * pairs.count()
         both = pairs.union(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
-        small = large.join(low, "u").select(F.explode(F.when(F.col("v") == F.col("m"), F.array(F.struct("u", F.col("m").alias("v")))).otherwise(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v"))))).alias("e"))
-        pairs = materialise(small.select("e.u", "e.v").where("u <> v").distinct())
-        # A forest of stars: no node hangs from two others, and none that others hang from hangs itself.
-        up, down = pairs.groupBy("u").count(), pairs.select(F.col("v").alias("u")).distinct()
-        if up.where("count > 1").isEmpty() and up.join(down, "u", "left_semi").isEmpty():
-            return pairs.select(F.col("u").alias("node"), F.col("v").alias("root"))
+        low = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("many")).select("u", F.least("u", "m").alias("m"), "many")
+        large = materialise(skew_join(both, low, ["u"], "many", total).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct())
+        low = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("many"))
+        small = skew_join(large, low, ["u"], "many", total)
+        # The smallest neighbour stays one, and all others become its neighbours.
+        small = small.select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
+        before, pairs = pairs, materialise(small.where("u <> v").distinct())
+        discard(before, large)
+    return pairs.select(F.col("u").alias("node"), F.col("v").alias("root"))
+
+
+def _stars(pairs: DataFrame) -> bool:
+    """Whether no node hangs from two others, and none that others hang from hangs itself."""
+    up = pairs.groupBy("u").count()
+    down = pairs.select(F.col("v").alias("u")).distinct()
+    return up.where("count > 1").select("u").union(up.join(down, "u", "left_semi").select("u")).isEmpty()
