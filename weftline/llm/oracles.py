@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from weftline.llm import chat, secrets
+from weftline.llm import chat, secrets, urlfilter
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = rf"regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
@@ -69,3 +69,15 @@ y as (select rid, {", ".join(f"count(*) filter (kind = '{r.kind}') as n_{r.kind}
   string_agg(kind || ':' || s::bigint || ':' || (s + n)::bigint, ',' order by s, rank) filter (rank < {len(secrets.BASE)}) as base,
   string_agg(kind || ':' || s::bigint || ':' || (s + n)::bigint, ',' order by s, rank) as spans from x group by rid)
 select doc_id, {", ".join(f"coalesce(n_{r.kind}, 0) as n_{r.kind}" for r in secrets.BASE)}, sha256(coalesce(base, '')) as base_sha256, coalesce(spans, '') as spans from d left join y using (rid)"""
+
+
+def url_rules(rules: tuple[urlfilter.Rule, ...]) -> str:
+    """Hosts, paths and the longest rule that fits each URL."""
+    ranked = sorted(rules, key=lambda r: (-len(r.pattern), -len(r.host)))
+    fits = [f"when (host = {_quoted(r.host)} or ends_with(host, {_quoted('.' + r.host)})) and starts_with(path, {_quoted(r.path)})" for r in ranked]
+    pick = lambda of: "case " + " ".join(f"{f} then {_quoted(of(r))}" for f, r in zip(fits, ranked, strict=True)) + " end"
+    return f"""
+with s as (select page_id, case when contains(url, '://') then substr(url, strpos(url, '://') + 3) else '' end as rest from pages),
+h as (select page_id, rest, regexp_extract(rest, '^[^/?#]*') as raw from s),
+p as (select page_id, translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host, regexp_extract(substr(rest, length(raw) + 1), '^[^?#]*') as path from h)
+select page_id, host, path, {pick(lambda r: r.pattern)} as rule, {pick(lambda r: r.verdict)} as rule_verdict from p"""

@@ -42,7 +42,14 @@ URL_RULES = (
 
 
 def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return urlfilter.judge(read_table(spark, sf_dir, "pages"), URL_RULES)
+    pages = read_table(spark, sf_dir, "pages")
+    return urlfilter.judge(pages, URL_RULES, urlfilter.train(urlfilter.labelled_by(pages, URL_RULES)))
+
+
+def url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What of ``op4_url_filter`` does not depend on the trees."""
+    out = op4_url_filter(spark, sf_dir)
+    return out.select("page_id", "host", "path", "rule", F.when(F.col("rule").isNotNull(), F.col("verdict")).alias("rule_verdict"))
 
 
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -77,6 +84,7 @@ QUERIES: dict[str, Query] = {
     "op2_decontamination": op2_decontamination,
     "op3_chat_format": op3_chat_format,
     "op4_url_filter": op4_url_filter,
+    "url_rules": url_rules,
     "op5_suffix_dedup": op5_suffix_dedup,
     "op6_top_k": op6_top_k,
     "op7_toxicity": op7_toxicity,
@@ -87,6 +95,7 @@ QUERIES: dict[str, Query] = {
 SQL: dict[str, str] = {
     "op2_decontamination": oracles.DECONTAMINATION,
     "op3_chat_format": oracles.CHAT,
+    "url_rules": oracles.url_rules(URL_RULES),
     "op6_top_k": oracles.TOP_K,
     "op8_near_duplicates": oracles.NEAR_DUPLICATES,
     "op10_secret_scan": oracles.SECRET_SCAN,

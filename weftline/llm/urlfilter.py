@@ -1,7 +1,7 @@
 """URL filters: rules for hosts and paths first, then gradient-boosted trees on lexical features.
 
-The trees are learned from labelled URLs, of which a fixed list is made up from words below: statistics of suffixes and
-host words come from one half of it and the trees from the other, so that the trees learn how far to trust statistics.
+The trees are learned from labelled URLs, which the caller gives as a table.  Where there are no other labels, the rules are
+the labels: ``labelled_by`` gives the URLs of a table that a rule decides, so that the trees say what the rules leave open.
 """
 
 from __future__ import annotations
@@ -11,7 +11,6 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -20,24 +19,8 @@ from pyspark.sql import functions as F
 
 _UPPER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 _SPLIT = re.compile(r"^.*?://([^/?#]*)([^?#]*)", re.DOTALL)
-_WORDS = re.compile(r"[a-z]+|[0-9]+")
-
-#: Words of hosts that lists of unwanted sites are full of, and words of ordinary hosts.
-BAD = (
-    "ads", "adult", "bet", "bets", "bonus", "cash", "casino", "cheap", "click", "crypto", "dating", "deal", "escort", "farm", "free", "gamble", "hack", "jackpot", "loan",
-    "lottery", "pharma", "pills", "poker", "porn", "prize", "sex", "slots", "spam", "track", "tracker", "viagra", "warez", "win", "winner", "xxx", "x",
-)
-GOOD = (
-    "archive", "art", "books", "city", "college", "data", "docs", "forum", "garden", "health", "history", "home", "house", "journal", "kitchen", "lab", "law", "library",
-    "local", "map", "media", "museum", "music", "nature", "news", "open", "paper", "people", "radio", "review", "river", "school", "science", "sport", "street", "studio",
-    "sun", "tech", "town", "travel", "university", "water", "weather", "wiki", "work", "world",
-)
-SUFFIXES = ("com", "net", "org", "info", "example.com", "example.net", "example.org", "co.uk", "de", "fr")
-PREFIXES = ("", "", "www.", "m.", "blog.")
-PATHS = ("", "/", "/en/{n}", "/fr/{n}.html", "/de/{n}/", "/es/{n}?utm_source=feed", "/{w}/{n}", "/{w}-{w}.html", "/en/{n}?page=2&ref=x", "/{w}#top")
-#: URLs of each label that are made up.
-LABELLED = 1500
-SYLLABLES = ("th", "er", "on", "an", "re", "he", "in", "ed", "nd", "ha", "at", "en", "es", "of", "or", "nt", "ea", "ti", "to", "it", "st", "io", "le", "is", "ou", "ar", "as", "de", "rt", "ve")
+#: Labelled URLs to learn from: at most so many distinct ones of each label, those with the smallest hash.
+LABELLED = 2000
 
 
 @dataclass(frozen=True)
@@ -65,30 +48,22 @@ def split_url(url: str | None) -> tuple[str, str]:
     return (m[1].translate(_UPPER), m[2]) if m else ("", "")
 
 
-def match(rules: tuple[Rule, ...], host: str, path: str) -> Rule | None:
-    """The longest rule that fits; of rules of one length the one with the longer host, then the first in order."""
-    return max((r for r in rules if r.fits(host, path)), key=lambda r: (len(r.pattern), len(r.host)), default=None)
-
-
-def labelled_urls(count: int = LABELLED) -> tuple[list[str], np.ndarray]:
-    """Made-up URLs and their labels (1: to block)."""
-    rng = np.random.default_rng(0)
-    pick = lambda words: words[int(rng.integers(len(words)))]
-    out, labels = [], []
-    for label in (0, 1):
-        for _ in range(count):
-            kind = rng.random()
-            if label:
-                name = f"{pick(BAD)}-{pick(BAD)}" if kind < 0.6 else f"{pick(BAD)}{int(rng.integers(1000))}" if kind < 0.75 else f"{pick(BAD)}-{pick(GOOD)}-{pick(BAD)}"
-            else:
-                name = "".join(pick(SYLLABLES) for _ in range(int(rng.integers(2, 6)))) if kind < 0.6 else pick(GOOD) if kind < 0.75 else f"{pick(GOOD)}-{pick(GOOD)}"
-            path = pick(PATHS)
-            while "{w}" in path:
-                path = path.replace("{w}", pick(GOOD), 1)
-            out.append(f"http{'s' * int(rng.integers(2))}://{pick(PREFIXES)}{name}.{pick(SUFFIXES)}{path.replace('{n}', str(int(rng.integers(1000))))}")
-            labels.append(label)
-    order = rng.permutation(len(out))
-    return [out[i] for i in order], np.array(labels)[order]
+class Rules:
+    """Rules by host, so that a URL meets only those of its own host and the domains above it."""
+
+    def __init__(self, rules: tuple[Rule, ...]):
+        self.by_host: dict[str, list[Rule]] = {}
+        for r in rules:
+            self.by_host.setdefault(r.host, []).append(r)
+        self.dots = max((h.count(".") for h in self.by_host), default=0)
+
+    def match(self, host: str, path: str) -> Rule | None:
+        """The longest rule that fits; of rules of one length the one with the longer host, then the first in order."""
+        parts = host.rsplit(".", self.dots + 1)
+        above = [host] if len(parts) <= self.dots + 1 else []
+        above += [".".join(parts[i:]) for i in range(1, len(parts))]
+        fits = (r for h in above for r in self.by_host.get(h, ()) if path.startswith(r.path))
+        return max(fits, key=lambda r: (len(r.pattern), len(r.host)), default=None)
 
 
 def _entropy(s: str) -> float:
@@ -96,34 +71,36 @@ def _entropy(s: str) -> float:
 
 
 class Features:
-    """Lexical features of URLs, with the shares of blocked URLs among those with a suffix or host word."""
+    """Lexical features of URLs, with the shares of blocked URLs among those with the same suffix."""
 
     def __init__(self, urls: list[str], labels: np.ndarray):
         self.prior = float(labels.mean()) if len(labels) else 0.5
         seen: Counter = Counter()
         bad: Counter = Counter()
         for url, y in zip(urls, labels, strict=True):
-            for key in self._keys(split_url(url)[0]):
+            for key in self._suffixes(split_url(url)[0]):
                 seen[key] += 1
                 bad[key] += int(y)
         self.share = {k: (bad[k] + self.prior * 2) / (n + 2) for k, n in seen.items()}
 
     @staticmethod
-    def _keys(host: str) -> set[tuple[str, str]]:
-        parts = host.split(".")
-        return {("suffix", parts[-1]), ("suffix", ".".join(parts[-2:]))} | {("word", w) for p in parts[:-1] for w in _WORDS.findall(p)}
+    def _suffixes(host: str) -> tuple[str, str]:
+        """The last label with a dot before it, and the last two."""
+        parts = host.rsplit(".", 2)
+        return f".{parts[-1]}", ".".join(parts[-2:])
 
     def of(self, url: str | None) -> list[float]:
         url = url or ""
         host, path = split_url(url)
         query = url.split("#", 1)[0].partition("?")[2]
-        parts = host.split(".")
-        words = [self.share.get(("word", w), self.prior) for p in parts[:-1] for w in _WORDS.findall(p)] or [self.prior]
-        digits = sum(c.isdigit() for c in url)
+        digits, host_digits = (sum(c.isdigit() for c in x) for x in (url, host))
         return [
-            len(url), len(host), len(path), len(parts), sum(bool(p) for p in path.split("/")), digits / max(1, len(url)), sum(c.isdigit() for c in host),
-            host.count("-"), _entropy(host), _entropy(path), len([p for p in query.split("&") if p]), len(query), float(url.startswith("https")), max(map(len, parts)),
-            self.share.get(("suffix", parts[-1]), self.prior), self.share.get(("suffix", ".".join(parts[-2:])), self.prior), max(words), min(words), sum(words) / len(words),
+            len(url), len(host), len(path), len(query),  # length
+            host.count(".") + 1, sum(bool(p) for p in path.split("/")),  # depth
+            digits / max(1, len(url)), host_digits / max(1, len(host)),
+            _entropy(host), _entropy(path),
+            len([p for p in query.split("&") if p]),  # parameters
+            *(self.share.get(k, self.prior) for k in self._suffixes(host)),
         ]
 
 
@@ -132,7 +109,7 @@ class Trees:
 
     def __init__(self, x: np.ndarray, y: np.ndarray, rounds: int = 60, depth: int = 3, rate: float = 0.2, bins: int = 16, ridge: float = 1.0):
         self.depth, self.trees = depth, []
-        mean = min(max(float(y.mean()) if len(y) else 0.5, 1e-3), 1 - 1e-3)
+        mean = min(max(float(y.mean()) if len(y) else 0.0, 1e-3), 1 - 1e-3)
         self.base = math.log(mean / (1 - mean))
         if not len(y):
             return
@@ -195,30 +172,52 @@ def learn(urls: list[str], labels: np.ndarray) -> Model:
     return Model(features, Trees(np.array([features.of(u) for u in urls[half:]]), labels[half:].astype(float)))
 
 
-@lru_cache(1)
-def default_model() -> Model:
-    return learn(*labelled_urls())
+def _host_and_path(rules: Rules, urls: list[str | None]) -> Iterator[tuple[str, str, Rule | None]]:
+    for url in urls:
+        host, path = split_url(url)
+        yield host, path, rules.match(host, path)
+
+
+def labelled_by(pages: DataFrame, rules: tuple[Rule, ...], url_col: str = "url") -> DataFrame:
+    """``url`` and ``label`` (1: to block) of the rows that a rule decides."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = Rules(rules)
+        for b in batches:
+            urls = b.column("url").to_pylist()
+            found = [(u, int(r.verdict == "block")) for u, (_, _, r) in zip(urls, _host_and_path(known, urls), strict=True) if r]
+            yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.int32())], names=["url", "label"])
+
+    return pages.select(F.col(url_col).alias("url")).mapInArrow(run, "url string, label int")
+
+
+def train(labelled: DataFrame, most: int = LABELLED) -> Model:
+    """Learn from at most ``most`` distinct URLs of each ``label`` (1: to block, 0: not); rows that lack either are left out.
+
+    Without any labels the model blocks nothing.
+    """
+    known = labelled.where(F.col("label").isin(0, 1) & F.col("url").isNotNull()).groupBy("url").agg(F.max("label").alias("label"))
+    rows = []
+    for value in (0, 1):
+        some = known.where(F.col("label") == value).orderBy(F.xxhash64("url"), "url").limit(most)
+        rows += [(r.url, int(r.label)) for r in some.collect()]
+    order = np.random.default_rng(0).permutation(len(rows))
+    return learn([rows[i][0] for i in order], np.array([rows[i][1] for i in order], dtype=np.int64))
 
 
-def judge(pages: DataFrame, rules: tuple[Rule, ...], model: Model | None = None, limit: float = 0.5, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
+def judge(pages: DataFrame, rules: tuple[Rule, ...], model: Model, limit: float = 0.5, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
     """A verdict for every url: ``page_id``, ``host``, ``path``, ``rule`` (or null), ``verdict`` and ``score`` (the trees' chance to block).
 
-    The longest rule that fits decides, else the trees: block from ``limit`` on.  A null url, or one without ``://``, has an
-    empty host and path, no rule, and is allowed.  Repeated rows and null ids stay; a table may be empty; further columns
-    are not read.
+    The longest rule that fits decides, else the trees: block above ``limit``.  A null url, or one without ``://``, has an empty
+    host and path and no rule.  Repeated rows and null ids stay; a table may be empty; further columns are not read.
     """
-    model = model or default_model()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = Rules(rules)
         for b in batches:
             urls = b.column("url").to_pylist()
             chance = model.chance(urls)
-            out = []
-            for url, c in zip(urls, chance.tolist(), strict=True):
-                host, path = split_url(url)
-                rule = match(rules, host, path)
-                verdict = rule.verdict if rule else "block" if host and c >= limit else "allow"
-                out.append((host, path, rule.pattern if rule else None, verdict))
+            out = [(host, path, r.pattern if r else None, r.verdict if r else "block" if c > limit else "allow") for (host, path, r), c in zip(_host_and_path(known, urls), chance.tolist(), strict=True)]
             cols = [b.column("page_id"), *(pa.array([o[i] for o in out], pa.string()) for i in range(4)), pa.array(chance, pa.float64())]
             yield pa.RecordBatch.from_arrays(cols, names=["page_id", "host", "path", "rule", "verdict", "score"])
 
