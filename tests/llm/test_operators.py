@@ -306,6 +306,50 @@ def test_toxic_folding_and_exceptions():
     assert toxicity.Lexicon({}, ()).score("x") == 0
 
 
+def brute_matches(model, folded):
+    """The longest entry at each place, tried one by one, unless an exception phrase covers it."""
+    places = lambda x: [i for i in range(len(folded)) if folded.startswith(x, i)]
+    spared = [(i, i + len(e)) for e in map(toxicity.fold, model.exceptions) for i in places(e)]
+    found = {}
+    for e in sorted(model.weights, key=len):
+        found |= {i: (i, i + len(e), model.weights[e]) for i in places(e)}
+    return sorted(x for x in found.values() if not any(a <= x[0] and x[1] <= b for a, b in spared))
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.sampled_from(["a", "ab", "abc", "b", "ba", "1", "x"]), max_size=30).map(" ".join), st.sets(st.sampled_from([" a", " ab", " ab ", " abc ", " b ", " ba", " x"])), st.sets(st.sampled_from(["a b", "ab abc", "b", "x a b"])))
+def test_toxic_matches(text, entries, phrases):
+    model = toxicity.Lexicon({e: float(k + 1) for k, e in enumerate(sorted(entries))}, sorted(phrases))
+    folded = toxicity.fold(text)
+    assert sorted(model.matches(folded)) == brute_matches(model, folded)
+    hits = brute_matches(model, folded)
+    x = sum(w for *_, w in hits) / math.log2(2 + len(folded.split())) if hits else 0.0
+    assert abs(model.score(text) - x / (x + model.middle)) < 1e-12
+
+
+def test_toxic_long_texts_and_ties(spark):
+    model = toxicity.Lexicon({" idiot ": 5.0}, ("no idiot",), 1.0)
+    rows = [(1, "no idiot " * 60_000, 0.0), (1, "no idiot " * 60_000, 0.0), (2, "idiot " + "word " * 100_000, None), (3, None, 0.0), (4, "", 0.0)]
+    docs = spark.createDataFrame([(i, t, 0.7, 1, True) for i, t, _ in rows], "doc_id long, text string, score double, predicted int, held_out boolean")
+    out = toxicity.score(docs, model)
+    assert out.columns == ["doc_id", "held_out", "score", "predicted"]
+    assert Counter((r.doc_id, r.score > 0, r.predicted) for r in out.collect()) == Counter([(1, False, 0), (1, False, 0), (2, True, 0), (3, False, 0), (4, False, 0)])
+    # A score of exactly 0.3 is toxic.
+    even = toxicity.Lexicon({" x ": 1.0}, (), 1 / math.log2(3) / 0.3 * 0.7)
+    got = toxicity.score(spark.createDataFrame([(1, "x")], "doc_id long, text string"), even).first()
+    assert abs(got.score - 0.3) < 1e-12 and got.predicted == int(got.score >= 0.3)
+
+
+def test_toxic_words_are_learned_from_few_rows():
+    """All ten of them, though a few cover most of the toxic texts; words by chance are not."""
+    rng = random.Random(3)
+    bad, words = [f"bad{chr(97 + k)}" for k in range(10)], [f"w{k}" for k in range(3000)]
+    rows = [(" ".join([*rng.sample(words, 40), *(rng.sample(bad, 3) if k % 8 == 0 else [])]), int(k % 8 == 0)) for k in range(320)]
+    model = toxicity.learn(lambda: iter(rows))
+    assert {e.strip() for e in model.weights} == set(bad)
+    assert all((model.score(f"{w} w1 w2 w3") >= 0.3) for w in bad) and not any(model.score(t) >= 0.3 for t, y in rows if not y)
+
+
 def test_toxicity_query(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang")
     more = [(100_000 + k, ("you vile " if k % 4 == 0 else "you kind ") + f"person number w{k}", "en") for k in range(200)] + [(None, "vile", None), (7, None, None), (8, "", None)]

@@ -2,15 +2,18 @@
 
 Folding lower-cases, strips accents, maps look-alike letters of other scripts and digit substitutions to Latin letters and
 everything that is no letter to a blank.  Entries are whole words or beginnings of words with a weight (log odds); those
-that cover labelled toxic texts best are learned one after another.  Matches inside exception phrases don't count.
+that cover labelled toxic texts best are learned one after another, and all others that are too sure to be chance.  Matches inside
+exception phrases don't count.
 """
 
 from __future__ import annotations
 
 import math
 import unicodedata
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterable, Iterator
+from itertools import accumulate
 
 import ahocorasick
 import numpy as np
@@ -31,11 +34,9 @@ EXCEPTIONS = ("trash can", "trash bin", "worthless check", "class clown", "clown
 
 #: Labelled rows that the lexicon is learned from: at most so many toxic ones and so many others, those with the smallest hash of their id.
 TOXIC_ROWS, OTHER_ROWS = 2000, 4000
-#: Least evidence (G-test) for an entry, and how many times likelier it has to make a toxic text.
-EVIDENCE, RATIO = 15.0, 20.0
+#: Least evidence (G-test) for an entry, how many times likelier it has to make a toxic text, and least toxic texts that have it.
+EVIDENCE, RATIO, LEAST = 15.0, 5.0, 3
 SHORTEST, LONGEST = 4, 6
-#: Entries in at least this share of the toxic texts, and in so many, are all taken, though others cover their texts.
-COMMON, COMMON_ROWS = 0.03, 20
 LIMIT = 0.3
 
 
@@ -89,7 +90,13 @@ class Lexicon:
                 spared.append((start, end + 1))
             elif start not in found or size > found[start][0]:
                 found[start] = (size, weight)
-        return [(s, s + n, w) for s, (n, w) in found.items() if not any(a <= s and s + n <= b for a, b in spared)]
+        if not spared:
+            return [(s, s + n, w) for s, (n, w) in found.items()]
+        # A place is inside an exception if, of those that begin no later, the one that reaches farthest covers it.
+        spared.sort()
+        starts, reach = [a for a, _ in spared], list(accumulate((b for _, b in spared), max))
+        upto = {s: bisect_right(starts, s) for s in found}
+        return [(s, s + n, w) for s, (n, w) in found.items() if not upto[s] or reach[upto[s] - 1] < s + n]
 
     def strength(self, text: str | None) -> float:
         """Weight of all matches against the logarithm of the length in words."""
@@ -124,11 +131,13 @@ def learn(rows, exceptions: Iterable[str] = EXCEPTIONS) -> Lexicon:
     count = Counter()
     for text, label in rows():
         count[label] += 1
-        often[label].update(_entries(text))
-        for c in often.values():  # entries seen once in very many texts are no candidates
-            if len(c) > 2_000_000:
-                for k in [k for k, v in c.items() if v == 1]:
-                    del c[k]
+        if label == 1:
+            often[1].update(_entries(text))
+    tried = len(often[1])
+    often[1] = Counter({e: p for e, p in often[1].items() if p >= LEAST})
+    for text, label in rows():
+        if label == 0:  # other entries are no candidates, so that their number bounds this table
+            often[0].update(_entries(text) & often[1].keys())
     toxic, other = max(1, count[1]), max(1, count[0])
 
     def fits(e: str, p: int) -> bool:
@@ -138,18 +147,21 @@ def learn(rows, exceptions: Iterable[str] = EXCEPTIONS) -> Lexicon:
     def weight(e: str) -> float:
         return math.log((often[1][e] + 0.5) / (toxic + 1)) - math.log((often[0][e] + 0.5) / (other + 1))
 
-    able = {e for e, p in often[1].items() if p >= 3 and fits(e, p)}
+    able = {e for e, p in often[1].items() if fits(e, p)}
     held = [_entries(text) & able for text, label in rows() if label == 1]
     chosen: dict[str, float] = {}
     while True:
         left = Counter(e for h in held for e in h)
-        best = max(((_evidence(p, often[0][e], toxic, other), len(e), e) for e, p in left.items() if p >= 3 and fits(e, p)), default=None)
+        best = max(((_evidence(p, often[0][e], toxic, other), len(e), e) for e, p in left.items() if p >= LEAST and fits(e, p)), default=None)
         if best is None:
             break
         chosen[best[2]] = weight(best[2])
         held = [h for h in held if best[2] not in h]
-    for e in sorted(able, key=lambda e: (-often[1][e], -len(e), e)):
-        if often[1][e] >= max(COMMON_ROWS, COMMON * toxic) and not any(e.startswith(c) or c.startswith(e) for c in chosen):
+    # Entries with more evidence than chance gives any of those tried are taken as well, though others cover their texts.
+    sure = max(EVIDENCE, 2 * math.log(max(1, tried)))
+    strong = {e: g for e in able if (g := _evidence(often[1][e], often[0][e], toxic, other)) >= sure}
+    for e in sorted(strong, key=lambda e: (-strong[e], -len(e), e)):
+        if not any(e.startswith(c.rstrip()) or c.startswith(e.rstrip()) for c in chosen):
             chosen[e] = weight(e)
     draft = Lexicon(chosen, exceptions)
     around = {1: Counter(), 0: Counter()}
