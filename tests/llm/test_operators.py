@@ -129,11 +129,42 @@ def test_chat_escapes(text):
     assert "".join(chat.unescape(out[a:b]) for a, b in mask) == text
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.sampled_from([*chat.CONTROL, chat.MARK, "\\", "n", "\n", "a"])).map("".join), st.sampled_from(["", "x\ny", "<|im_end|>\n"]))
+def test_chat_roles(role, text):
+    out, _, _ = chat.format_turn(role, [chat.Text(text)])
+    assert chat.read_turns(out * 2) == [(role, text)] * 2
+
+
 def test_chat_parts():
     parts = [chat.Text("a</"), chat.Text("s>"), chat.Image("i.png", 28, 15), chat.Audio("a.wav", 1.5), chat.Document("d.pdf", 2), chat.Text("<|image|>")]
     out, mask, attached = chat.format_turn("user", parts)
     assert mask == [] and [(k, r, n) for k, r, _, n in attached] == [("image", "i.png", 4), ("audio", "a.wav", 38), ("document", "d.pdf", 2048)]
     assert all(out[at:].startswith(f"<|{k}|>") for k, _, at, _ in attached) and out.count("<|image|>") == 1 and "</s>" not in out
+    out, mask, _ = chat.format_turn("assistant", parts)
+    assert [chat.unescape(out[a:b]) for a, b in mask] == ["a</s>", "<|image|>"]
+
+
+def test_chat_parts_of_a_table(spark):
+    part = lambda kind, text=None, ref=None, width=None, height=None, seconds=None, pages=None: (kind, text, ref, width, height, seconds, pages)
+    rows = [
+        (1, 0, "user", "not read", [part("text", "see "), part("image", ref="i.png", width=28, height=15), None, part("audio", ref="a.wav", seconds=1.5), part("document", ref="d.pdf", pages=2), part("image")]),
+        (1, 1, "assistant", None, [part("text", "it "), part("document", ref="e.pdf", pages=1), part("text", "is</s>")]),
+        (2, 0, "us\ner", "plain", None), (2, 1, "assistant", "x", []), (3, 0, "assistant", "y" * 300_000, None), (3, 0, "assistant", "y" * 300_000, None),
+    ]
+    df = spark.createDataFrame([(*r, "z", 9) for r in rows], f"conv_id long, turn long, role string, text string, content array<{chat.PART}>, formatted string, attachments int")
+    turns = chat.format_turns(df, parts_col="content")
+    got = {(r.conv_id, r.turn): r for r in turns.collect()}
+    assert [(a.kind, a.ref, a.tokens) for a in got[1, 0].attachments] == [("image", "i.png", 4), ("audio", "a.wav", 38), ("document", "d.pdf", 2048), ("image", "", 0)]
+    assert all(got[k].formatted[a["at"] :].startswith(f"<|{a.kind}|>") for k in got for a in got[k].attachments)
+    assert chat.read_turns(got[1, 0].formatted) == [("user", "see <|image|><|audio|><|document|><|image|>")]
+    assert [chat.unescape(got[1, 1].formatted[a:b]) for a, b in got[1, 1]["mask"]] == ["it ", "is</s>"]
+    out = {r.conv_id: r for r in chat.digest(turns).collect()}
+    assert [(out[k].n_attachments, out[k].attachment_tokens, out[k].n_turns) for k in (1, 2, 3)] == [(5, 4 + 38 + 2048 + 1024, 2), (0, 0, 2), (0, 0, 2)]
+    assert out[2].turns_sha256 == sha(b"us\ner\nplain\nassistant\n\n") and out[3].loss_chars == 600_000
+    unknown = spark.createDataFrame([(1, 0, "user", "", [part("video")])], f"conv_id long, turn long, role string, text string, content array<{chat.PART}>")
+    with pytest.raises(Exception, match="no such kind of part"):
+        chat.format_turns(unknown, parts_col="content").collect()
 
 
 def test_chat_query(spark):

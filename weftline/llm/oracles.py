@@ -29,6 +29,8 @@ from d left join hits using (rid) left join found using (rid)"""
 
 _CONTROL = "|".join(f"{re.escape(c[0])}{chat.MARK}*{re.escape(c[1:])}" for c in chat.CONTROL)
 
+_ROLE = r"replace(replace(role, '\', '\\'), chr(10), '\n')"
+
 CHAT = f"""
 with rows as (select conv_id, turn, role, text from conversations
   union all values (-7, 0, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]')),
@@ -36,7 +38,8 @@ t as (select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as te
 select conv_id, count(*) as n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn, role, text)) as turns_sha256,
   sum(case when role = 'assistant' then length(text) else 0 end)::bigint as loss_chars,
   sha256(coalesce(string_agg(case when role = 'assistant' then text end, '' order by turn, role, text), '')) as loss_sha256,
-  sum(length('<|im_start|>' || role || chr(10) || text || '<|im_end|>' || chr(10)) + len(regexp_extract_all(text, {_quoted(_CONTROL)})))::bigint as formatted_chars
+  sum(length('<|im_start|>' || {_ROLE} || chr(10) || text || '<|im_end|>' || chr(10)) + len(regexp_extract_all({_ROLE}, {_quoted(_CONTROL)})) + len(regexp_extract_all(text, {_quoted(_CONTROL)})))::bigint as formatted_chars,
+  0::bigint as n_attachments, 0::bigint as attachment_tokens
 from t group by conv_id"""
 
 TOP_K = """
