@@ -581,6 +581,8 @@ def test_language_id(spark):
     assert len(held) > 20 and np.mean(held) > 0.95
     nothing = langid.predict(docs, langid.train(docs.limit(0)))
     assert nothing.where("lang_pred <> 'und'").count() == 0
+    clash = langid.predict(docs.withColumn("lang_pred", docs.lang).withColumn("score", F.lit(2)).withColumn("held_out", F.lit(None)), model)
+    assert Counter(map(tuple, clash.collect())) == Counter(map(tuple, out.collect()))
     more = langid.annotate(docs.withColumn("lang_score", docs.doc_id), model)
     assert more.columns == ["doc_id", "text", "lang", "source", "lang_pred", "lang_score"] and more.where("lang_score > 1").count() == 0
 
@@ -602,6 +604,44 @@ def test_long_texts_are_one_chain():
             assert (lang, score) == (langid.UNKNOWN, 0)
 
 
+def test_words_of_switched_texts(spark):
+    """Held-out sentences of several languages in one text: words are labelled, and switches are likely where they were learned."""
+    docs = [(r.doc_id, r.text, r.lang) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("lang is not null and text is not null").orderBy("doc_id").collect()]
+    held = lambda i: zlib.crc32(str(i).encode()) % 4 == 2
+    learned = [(t, lang) for i, t, lang in docs if not held(i)][:300]
+    model = langid.learn([t for t, _ in learned], [lang for _, lang in learned])
+    assert model.trans.diagonal().min() > (model.trans - np.diag(np.full(len(model.langs), np.inf))).max()
+    rng, rest = random.Random(8), [(langid._WORD.findall(t), lang) for i, t, lang in docs if held(i) and len(t) > 300]
+    right = total = several = 0
+    texts = []
+    for _ in range(40):
+        pieces = [(w[k : k + 25], lang) for w, lang in rng.sample(rest, 3) for k in [rng.randrange(max(1, len(w) - 25))]]
+        text = " -- ".join(" ".join(w) for w, _ in pieces)
+        spans = model.spans([text])[0]
+        several += len({x[2] for x in spans}) == len({lang for _, lang in pieces})
+        got = [lang for _, _, lang, n, _ in spans for _ in range(n)]
+        want = [lang for w, lang in pieces for _ in w]
+        assert len(got) == len(want) and all(text[a:b] == text[a:b].strip() for a, b, *_ in spans)
+        right, total = right + sum(a == b for a, b in zip(got, want, strict=True)), total + len(want)
+        texts.append(text)
+    assert right / total > 0.93 and several >= 30
+    # The table has the same spans, and each word's language is the likeliest of the uncut chain.
+    odd = [(None, "the and of"), (-1, None), (-2, ""), (-3, "12 !"), (-4, texts[0]), (-4, texts[0]), (-5, " ".join(texts * 12))]
+    df = spark.createDataFrame([(i, t, "x", 0.5) for i, t in [*enumerate(texts), *odd]], "doc_id long, text string, spans string, lang_pred double")
+    out = langid.label_words(df, model).collect()
+    assert Counter(r.doc_id for r in out) == Counter([*range(40), *(i for i, _ in odd)])
+    for r in out:
+        if r.doc_id is not None and (r.doc_id >= 0 or r.doc_id == -5):
+            text = texts[r.doc_id] if r.doc_id >= 0 else odd[-1][1]
+            key, count = langid.features([w.lower() for w in langid._WORD.findall(text)])
+            emit = np.add.reduceat(model.weights[key], np.cumsum(count) - count, axis=0)[None]
+            best = langid.forward_backward(emit, np.array([emit.shape[1]]), model.trans)[0][0].argmax(axis=1)
+            assert [x.lang for x in r.spans for _ in range(x.words)] == [model.langs[k] for k in best]
+    assert all(not r.spans for r in out if r.doc_id in (-1, -2, -3))
+    nothing = langid.Crf([], np.zeros((1 << langid.BITS, 0)), np.zeros((0, 0)))
+    assert nothing.spans(["ab cd", None]) == [[(0, 5, "und", 2, 0.0)], []]
+
+
 def test_every_language_is_learned(spark, monkeypatch):
     rng = random.Random(9)
     words = {f"l{k:02}": ["".join(rng.choice("abcdefghijklmnop") for _ in range(6)) for _ in range(8)] for k in range(30)}

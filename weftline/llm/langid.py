@@ -2,7 +2,9 @@
 
 The features of a word are itself (the lexicon), its beginnings and endings, and its letter n-grams, hashed to a fixed
 number of weights for each language; transitions between the languages of neighbouring words are learned with them.
-Forward-backward gives every word's chances, and a text's language is the one with the largest mean chance.
+Labelled texts have one language each, so that texts which switch are joined from stretches of them to learn from.
+Forward-backward gives every word's chances: ``label_words`` returns the language of each run of words, and a text's language
+is the one with the largest mean chance.
 """
 
 from __future__ import annotations
@@ -23,6 +25,8 @@ from weftline.llm.common import held_out, mix, slices
 ROWS_EACH, ROWS, LEAST_ROWS = 150, 3000, 5
 #: Words of each step.  A learned text of more words gives several sequences; a predicted one is one chain all the same.
 SEQUENCE = 256
+#: Joined texts for each sequence that is learned, and the fewest and most words of one of their stretches.
+SWITCHED, SHORT, LONG = 0.25, 3, 40
 BITS, GRAMS, AFFIX = 15, (2, 3, 4), 4
 EPOCHS, RATE, DECAY = 4, 0.3, 1e-6
 #: Words kept with their features' sums by each worker; beyond this the memory starts anew.
@@ -151,9 +155,11 @@ class Crf:
             self.table = np.concatenate(sums)
         return np.fromiter(map(self.cache.__getitem__, words), dtype=np.int64, count=len(words))
 
-    def sums(self, row: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    def sums(self, row: np.ndarray, start: np.ndarray, size: np.ndarray, best: np.ndarray | None = None, chances: np.ndarray | None = None) -> np.ndarray:
         """Summed chances of each language over the words of texts, each of which is one chain; longer texts stand first.
 
+        ``best`` and ``chances``, where given, are filled with the likeliest language of each word and its chance.
+
         The chains are read in stretches: forward, of which only the chances at their ends are kept, and then back, with
         each stretch's forward chances made again from the end of the one before.  So a long text takes no more memory.
         """
@@ -179,43 +185,82 @@ class Crf:
             beta = _backward(e, move, n, b)
             chance = _forward(e, move, None if before is None else before[: len(n)]) * beta
             chance /= chance.sum(axis=2, keepdims=True)
-            out[: len(n)] += (chance * (np.arange(e.shape[1]) < n[:, None])[:, :, None]).sum(axis=1)
+            inside = np.arange(e.shape[1]) < n[:, None]
+            out[: len(n)] += (chance * inside[:, :, None]).sum(axis=1)
+            if best is not None:
+                at = (start[: len(n), None] + a + np.arange(e.shape[1]))[inside]
+                best[at], chances[at] = chance.argmax(axis=2)[inside], chance.max(axis=2)[inside]
             behind = (e[:, 0] * beta[:, 0]) @ move.T
             behind /= behind.sum(axis=1, keepdims=True)
         return out
 
-    def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
-        """Language and its mean chance of each text; ``und`` and 0 without letters."""
-        cut = [_WORD.findall(t.lower()) if t else [] for t in texts]
-        out: list[tuple[str, float]] = [(UNKNOWN, 0.0)] * len(texts)
-        if not self.langs:
-            return out
+    def _summed(self, cut: list[list[str]], labelled: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Summed chances of each text's words and their numbers; if ``labelled``, each word's likeliest language and its chance."""
         row = self.rows([w for words in cut for w in words])
         sizes = np.array([len(words) for words in cut], dtype=np.int64)
         starts = np.cumsum(sizes) - sizes
-        sums = np.zeros((len(texts), len(self.langs)))
+        best, chances = (np.zeros(len(row), dtype=np.int32), np.zeros(len(row))) if labelled else (None, None)
+        sums = np.zeros((len(cut), len(self.langs)))
         order = np.argsort(-sizes, kind="stable")[: int((sizes > 0).sum())]
         step = _share(256, len(self.langs))
         for low in range(0, len(order), step):
             some = order[low : low + step]
-            sums[some] = self.sums(row, starts[some], sizes[some])
+            sums[some] = self.sums(row, starts[some], sizes[some], best, chances)
+        return sums, sizes, best, chances
+
+    def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
+        """Language and its mean chance of each text; ``und`` and 0 without letters."""
+        out: list[tuple[str, float]] = [(UNKNOWN, 0.0)] * len(texts)
+        if not self.langs:
+            return out
+        sums, sizes, _, _ = self._summed([_WORD.findall(t.lower()) if t else [] for t in texts])
         for i, n in enumerate(sizes):
             if n:
                 best = int(sums[i].argmax())
                 out[i] = (self.langs[best], float(min(1.0, sums[i, best] / n)))
         return out
 
+    def spans(self, texts: list[str | None]) -> list[list[tuple[int, int, str, int, float]]]:
+        """Runs of words of one language in each text: start, end, language, words and mean chance."""
+        found = [list(_WORD.finditer(t)) if t else [] for t in texts]
+        if not self.langs:
+            return [[(m[0].start(), m[-1].end(), UNKNOWN, len(m), 0.0)] if m else [] for m in found]
+        _, sizes, best, chances = self._summed([[m[0].lower() for m in words] for words in found], labelled=True)
+        out, at = [], 0
+        for words, n in zip(found, sizes.tolist(), strict=True):
+            mine, chance = best[at : at + n], chances[at : at + n]
+            edge = [0, *(np.flatnonzero(np.diff(mine)) + 1).tolist(), n] if n else []
+            out.append([(words[a].start(), words[b - 1].end(), self.langs[mine[a]], b - a, float(min(1.0, chance[a:b].mean()))) for a, b in zip(edge[:-1], edge[1:], strict=True)])
+            at += n
+        return out
+
+
+def _joined(seqs: list[tuple[list[str], np.ndarray]], langs: int, rng: np.random.Generator) -> list[tuple[list[str], np.ndarray]]:
+    """Texts that switch between languages, each made of stretches of sequences of one language."""
+    out = []
+    for _ in range(int(SWITCHED * len(seqs)) if langs > 1 else 0):
+        words, labels = [], []
+        for _ in range(int(rng.integers(2, 8))):
+            some, label = seqs[int(rng.integers(len(seqs)))]
+            n = min(len(some), int(rng.integers(SHORT, LONG + 1)), SEQUENCE - len(words))
+            a = int(rng.integers(len(some) - n + 1))
+            words += some[a : a + n]
+            labels.append(label[a : a + n])
+        out.append((words, np.concatenate(labels)))
+    return out
+
 
 def learn(texts: list[str], labels: list[str]) -> Crf:
-    """Maximum likelihood by steps of adaptive size; every word of a text has the text's language."""
+    """Maximum likelihood by steps of adaptive size; every word of a text has the text's language, and joined texts switch."""
     langs = sorted(set(labels))
     weights, trans = np.zeros((1 << BITS, len(langs))), np.zeros((len(langs), len(langs)))
     squares, trans_squares = np.full(weights.shape, 1e-6), np.full(trans.shape, 1e-6)
     seqs = []
     for text, label in zip(texts, labels, strict=True):
         words = _WORD.findall(text.lower())
-        seqs += [(words[a : a + SEQUENCE], langs.index(label)) for a in range(0, len(words), SEQUENCE)]
+        seqs += [(words[a : a + SEQUENCE], np.full(len(words[a : a + SEQUENCE]), langs.index(label))) for a in range(0, len(words), SEQUENCE)]
     rng = np.random.default_rng(0)
+    seqs += _joined(seqs, len(langs), rng)
     for _ in range(EPOCHS):
         order = rng.permutation(len(seqs))
         for low in range(0, len(order), 64):
@@ -229,9 +274,12 @@ def learn(texts: list[str], labels: list[str]) -> Crf:
             pad[inside] = emit
             chance, moved = forward_backward(pad, size, trans)
             grad = chance[inside]
-            label = np.repeat([y for _, y in some], size)
+            label = np.concatenate([y for _, y in some])
             grad[np.arange(len(words)), label] -= 1
-            move = moved - np.diag(np.bincount([y for _, y in some], weights=size - 1, minlength=len(langs)))
+            last = np.zeros(len(label), dtype=bool)
+            last[np.cumsum(size) - 1] = True
+            at = np.flatnonzero(~last)
+            move = moved - np.bincount(label[at] * len(langs) + label[at + 1], minlength=len(langs) ** 2).reshape(len(langs), len(langs))
             step = np.zeros_like(weights)
             for y in range(len(langs)):
                 step[:, y] = np.bincount(key, weights=np.repeat(grad[:, y], count), minlength=1 << BITS)
@@ -300,3 +348,27 @@ def annotate(docs: DataFrame, model: Crf, text_col: str = "text") -> DataFrame:
 
     schema = T.StructType([*kept.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("lang_score", T.DoubleType())])
     return kept.mapInArrow(run, schema)
+
+
+def label_words(docs: DataFrame, model: Crf, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The language of every word: ``doc_id`` and ``spans``, runs of words of one language in order.
+
+    A span has ``start`` and ``end`` in code points, ``lang``, ``words`` and ``score`` (their mean chance).  A text that is null or
+    has no letter has none; where nothing could be learned the whole text is ``und``.  Null ids and repeated rows stay; a table
+    may be empty; further columns are not read.
+    """
+    known = docs.sparkSession.sparkContext.broadcast((model.langs, model.weights, model.trans))
+    state: dict[str, Crf] = {}
+    kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("lang", pa.string()), ("words", pa.int64()), ("score", pa.float64())]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if "crf" not in state:
+            state["crf"] = Crf(*known.value)
+        for whole in batches:
+            for batch in slices(whole, 512, limit=1 << 20):
+                got = state["crf"].spans(batch.column("text").to_pylist())
+                shown = [[dict(zip(("start", "end", "lang", "words", "score"), x, strict=True)) for x in spans] for spans in got]
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(shown, kind)], names=["doc_id", "spans"])
+
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    return rows.mapInArrow(run, "doc_id long, spans array<struct<start:bigint,end:bigint,lang:string,words:bigint,score:double>>")
