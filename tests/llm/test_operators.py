@@ -5,6 +5,7 @@ import itertools
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -57,6 +58,27 @@ def test_bpe_agrees(tokenizer, texts):
         assert own.decode(ids) == text.encode()
 
 
+def test_long_matches(tokenizer):
+    """A match of 1 MB, and long ones of few letters, of base64, of Chinese and of line feeds, as the library has them."""
+    own, known = tokenizer
+    rng = random.Random(6)
+    draw = lambda letters, n: "".join(rng.choices(letters, k=n))
+    base64 = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
+    texts = ["a" * 1_000_000, draw("ab", 60_000), draw("aeinst", 100_000), draw(base64, 300_000), "".join(chr(0x4E00 + rng.randrange(5000)) for _ in range(60_000)), "\n" * 50_000, "ab" * 1100 + "é" * 1500, "x" * (bpe.LONG + 1)]
+    began = time.monotonic()
+    for text, ids in zip(texts, own.encode_batch(texts), strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == known.encode_ordinary(text)
+    assert time.monotonic() - began < 60
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.text(alphabet="abcehinost", min_size=2, max_size=300))
+def test_heap_and_matrix_agree(tokenizer, text):
+    own, _ = tokenizer
+    assert own._heap(text.encode()).tolist() == own._matrix([text.encode()])[0].tolist()
+    assert np.concatenate([own._matrix([x])[0] for x in own._cut(text.encode())]).tolist() == own._matrix([text.encode()])[0].tolist()
+
+
 def test_bpe_query(spark, real, tokenizer):
     rows = [*real[:60], (None, "x"), (7, None), (7, None), (8, ""), (9, "ab" * 20000), (10, "<|endoftext|>")]
     out = bpe.encode_decode(documents(spark, rows), PATH, public_tokenizers.PATTERN, digest=True)

@@ -4,13 +4,19 @@ A text is cut by the tokenizer's pattern and every match is merged by itself.  M
 merged together: they are bucketed by length, laid out as padded matrices of token ids, and in each round every row merges
 the leftmost of its pairs with the smallest rank.  Pair ranks come from an open-addressing hash table; after a round the
 rows are compacted, and rows without a mergeable pair leave the matrix.
+
+A long match is first cut wherever no token holds the two bytes that meet there, as no merge can cross such a place.  What is
+then still too long for a row, such as one letter over and over, is merged in the same order from a heap, as a row's rounds
+would take time quadratic in its length.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+from array import array
 from collections.abc import Iterator
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -25,6 +31,8 @@ from weftline.llm.common import mix, slices
 CACHE = 200_000
 #: Cells of one padded matrix.
 CELLS = 1 << 16
+#: Matches of more bytes are cut; parts of more bytes are no rows of a matrix.
+WIDE, LONG = 256, 2048
 NONE = np.int32(0x7FFFFFFF)
 
 
@@ -45,6 +53,12 @@ class Bpe:
             self.tokens[rank] = token
         self.byte_id = np.array([ranks[bytes([b])] for b in range(256)], dtype=np.int32)
         self.cache: dict[str, bytes] = {}
+        self.meet = np.zeros(1 << 16, dtype=bool)  # pairs of bytes that some token holds
+        data = np.frombuffer(b"".join(self.tokens), dtype=np.uint8).astype(np.int64)
+        inside = np.ones(len(data), dtype=bool)
+        inside[np.cumsum([len(t) for t in self.tokens if t]) - 1] = False
+        at = np.flatnonzero(inside)
+        self.meet[data[at] << 8 | data[at + 1]] = True
         self._table()
 
     def _table(self) -> None:
@@ -89,10 +103,63 @@ class Bpe:
         return out
 
     def merge(self, words: list[bytes]) -> list[np.ndarray]:
-        """Ids of each word; the words are dealt to matrices by length."""
+        """Ids of each word, long ones by the parts between which no merge can cross."""
+        parts, counts = [], []
+        for word in words:
+            cut = self._cut(word) if len(word) > WIDE else [word]
+            parts += cut
+            counts.append(len(cut))
+        ids = self._merged(parts)
+        if len(parts) == len(words):
+            return ids
+        ends = np.cumsum(counts).tolist()
+        return [ids[a] if a + 1 == b else np.concatenate(ids[a:b]) for a, b in zip([0, *ends[:-1]], ends, strict=True)]
+
+    def _cut(self, word: bytes) -> list[bytes]:
+        data = np.frombuffer(word, dtype=np.uint8).astype(np.int64)
+        at = [0, *(np.flatnonzero(~self.meet[data[:-1] << 8 | data[1:]]) + 1).tolist(), len(word)]
+        return [word[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
+
+    def _heap(self, word: bytes) -> np.ndarray:
+        """Ids of one word, by the same merges in the same order, in time n log n."""
+        n = len(word)
+        ids = self.byte_id[np.frombuffer(word, dtype=np.uint8)]
+        ranks = self.rank_of(ids[:-1], ids[1:])
+        ids, rank = array("i", ids.tobytes()), array("i", ranks.tobytes())
+        before, after = array("q", range(-1, n - 1)), array("q", range(1, n + 1))
+        heap = ((ranks.astype(np.int64) << 32) | np.arange(n - 1))[ranks != NONE].tolist()
+        heapify(heap)
+        get, tokens, none = self.ranks.get, self.tokens, int(NONE)
+        rank.append(none)
+        while heap:
+            top = heappop(heap)
+            at, low = top & 0xFFFFFFFF, top >> 32
+            if rank[at] != low:  # it was merged, or its pair is another by now
+                continue
+            gone = after[at]
+            ids[at], after[at], rank[gone] = low, after[gone], none
+            if after[at] < n:
+                before[after[at]] = at
+            for i in (before[at], at):
+                if i >= 0:
+                    j = after[i]
+                    rank[i] = get(tokens[ids[i]] + tokens[ids[j]], none) if j < n else none
+                    if rank[i] != none:
+                        heappush(heap, rank[i] << 32 | i)
+        out, at = [], 0
+        while at < n:
+            out.append(ids[at])
+            at = after[at]
+        return np.array(out, dtype=np.int32)
+
+    def _merged(self, words: list[bytes]) -> list[np.ndarray]:
+        """The same for parts; they are dealt to matrices by length."""
         out: list[np.ndarray] = [np.zeros(0, dtype=np.int32)] * len(words)
         order = sorted(range(len(words)), key=lambda i: len(words[i]))
         at = 0
+        while order and len(words[order[-1]]) > LONG:
+            last = order.pop()
+            out[last] = self._heap(words[last])
         while at < len(order):
             end, width = at + 1, len(words[order[at]])
             top = max(8, width * 5 // 4)
