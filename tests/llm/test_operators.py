@@ -122,7 +122,7 @@ def brute_windows(docs, items, window=10):
 def test_decontamination(spark, real, monkeypatch, literals):
     monkeypatch.setattr(decontam, "LITERALS", literals)
     if not literals:
-        monkeypatch.setattr(decontam, "BROADCAST_ROWS", 0)
+        monkeypatch.setattr(decontam, "BROADCAST_BYTES", 0)
     item = " ".join(f"word{k}" for k in range(15))
     items = [(1, item), (2, "Two Words"), (3, "lone"), (4, None), (5, "..."), (None, "no id item here"), (1, item), (10, "two words"), (6, "a b a b a b a b a b a b a b")]
     docs = [
@@ -135,10 +135,26 @@ def test_decontamination(spark, real, monkeypatch, literals):
     assert got == brute_windows(docs, items)
     assert decontam.find_windows(documents(spark, docs), table.limit(0)).where("contaminated").count() == 0
     assert decontam.find_windows(documents(spark, []), table).count() == 0
+    clash = documents(spark, docs).withColumn("spoilt", F.lit("s")).withColumn("gram", F.lit(1)).withColumn("rid", F.lit(1))
+    assert decontam.find_windows(clash, table).columns == ["doc_id", "n_words", "n_hit", "n_items", "items", "contaminated"]
+    stay = Counter(eval(row)[0] for row, n in brute_windows(docs, items).items() for _ in range(n) if not eval(row)[-1])
+    assert Counter(r.doc_id for r in decontam.decontaminate(clash, table).collect()) == stay and decontam.decontaminate(clash, table).columns == clash.columns
     kept = decontam.decontaminate(documents(spark, docs), table)
     assert kept.columns == documents(spark, []).columns and {r.doc_id for r in kept.collect()} & {900, 901, 905, None} == set()
 
 
+def test_only_checked_sizes_are_broadcast(spark, monkeypatch):
+    """Many items that share one window: there are few windows, and many rows of items."""
+    monkeypatch.setattr(decontam, "BROADCAST_BYTES", 100_000)
+    sent = []
+    monkeypatch.setattr(decontam.F, "broadcast", lambda df, plain=F.broadcast: (sent.append(df.count()), plain(df))[1])
+    text = " ".join(f"w{k}" for k in range(10))
+    items = spark.range(3000).select(F.col("id").alias("item_id"), F.lit(text).alias("text"))
+    docs = documents(spark, [(1, f"x {text} y"), (2, "w0 w1"), (3, text)])
+    got = {r.doc_id: (r.n_hit, r.n_items) for r in decontam.find_windows(docs, items).collect()}
+    assert got == {1: (10, 3000), 2: (0, 0), 3: (10, 3000)} and sent == [1]
+
+
 # 3
 
 
@@ -318,13 +334,15 @@ def test_collisions_are_found(monkeypatch):
 # 6
 
 
-@pytest.mark.parametrize("query_bytes", [64 << 20, 2000])
-def test_top_k(spark, query_bytes):
+@pytest.mark.parametrize(("query_bytes", "seed_bytes"), [(64 << 20, 1 << 20), (2000, 500)])
+def test_top_k(spark, monkeypatch, query_bytes, seed_bytes):
+    monkeypatch.setattr(topk, "SEED_BYTES", seed_bytes)
     rng = np.random.default_rng(1)
     rows = [(i, [float(x) for x in rng.normal(size=12)]) for i in range(260)]
-    rows += [(300, [0.5] * 12), (301, [0.5] * 12), (302, [0.5] * 12), (350, None), (400, [float("nan")] * 12), (450, [None] + [1.0] * 11), (500, [1.0, 2.0]), (501, [1.5, 2.0]), (501, [1.5, 2.0]), (None, [1.0] * 12), (550, []), (600, [1e300] * 12), (650, [float("inf")] * 12)]
+    rows += [(300, [0.5] * 12), (301, [0.5] * 12), (302, [0.5] * 12), (350, None), (400, [float("nan")] * 12), (450, [None] + [1.0] * 11), (500, [1.0, 2.0]), (501, [1.5, 2.0]), (501, [1.5, 2.0]), (None, [1.0] * 12), (550, []), (600, [1e300] * 12), (601, [1e308, -1e308] * 6), (602, [-1.7e308] * 12), (650, [float("inf")] * 12)]
     df = spark.createDataFrame([(i, v, 5) for i, v in rows], "vec_id long, embedding array<double>, score int")
-    fine = {i: [int(np.floor(256 * x)) for x in v] for i, v in rows if i is not None and v is not None and all(x is not None and np.isfinite(256 * x) for x in v)}
+    floor = lambda x: int(x) * 256 if abs(x) > 1e30 else int(np.floor(256 * x))
+    fine = {i: [floor(x) for x in v] for i, v in rows if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)}
     want = set()
     for q in fine:
         if q % 50 == 0:
@@ -344,6 +362,33 @@ def test_bounds_hold_and_prune():
     s = topk.Search(np.arange(0, 2000, 50), x[::50], 5)
     s.add(np.arange(2000), x)
     assert s.exact < 0.6 * s.pairs
+    # With what the first pass found as a start, hardly more than the best rows survive.
+    again = topk.Search(np.arange(0, 2000, 50), x[::50], 5, s.low)
+    again.add(np.arange(2000), x)
+    assert again.exact < 0.5 * s.exact and all((a[0] == b[0]).all() and (a[1] == b[1]).all() for a, b in zip(s.best, again.best, strict=True))
+
+
+def test_groups_of_queries_are_released(spark, monkeypatch):
+    """Of twenty groups of queries no broadcast is left when the next begins."""
+    rng = np.random.default_rng(4)
+    df = spark.createDataFrame([(i, [float(x) for x in rng.normal(size=4)]) for i in range(400)], "vec_id long, embedding array<double>")
+    alive, most, plain = set(), [], spark.sparkContext.broadcast
+
+    def broadcast(value):
+        got = plain(value)
+        if value and len(next(iter(value.values()))) == 3:
+            destroy = got.destroy
+            alive.add(id(got))
+            most.append(len(alive))
+            got.destroy = lambda: (alive.discard(id(got)), destroy())
+        return got
+
+    monkeypatch.setattr(spark.sparkContext, "broadcast", broadcast)
+    one = topk.top_k(df, every=10)
+    assert most == [1]
+    many = topk.top_k(df, every=10, query_bytes=384)
+    assert len(most) >= 20 and max(most) == 1 and not alive
+    assert sorted(map(tuple, one.collect())) == sorted(map(tuple, many.collect()))
 
 
 # 7
@@ -734,6 +779,10 @@ def test_the_ledger_is_incremental(spark):
 
 
 def test_redaction(spark):
+    clash = documents(spark, SECRETS).withColumn("blob", F.lit("b")).withColumn("spans", F.lit("s")).withColumn("rank", F.lit(0))
+    more = secrets.redact_documents(clash)
+    assert more.columns == clash.columns and more.where("blob <> 'b' or spans <> 's'").count() == 0 and secrets.redact_documents(clash.limit(0)).count() == 0
+    assert Counter(map(tuple, more.select("doc_id", "text").collect())) == Counter(map(tuple, secrets.redact_documents(documents(spark, SECRETS)).select("doc_id", "text").collect()))
     out = secrets.redact_documents(documents(spark, SECRETS))
     assert out.columns == documents(spark, []).columns and out.count() == len(SECRETS)
     got = Counter((r.doc_id, r.text) for r in out.collect())

@@ -11,14 +11,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from weftline.llm.common import lower_ascii, materialise
+from weftline.llm.common import lower_ascii, materialise, unused
 
 #: What separates words: every ASCII character but digits and lower-case letters.
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: Most benchmark shingles that are sent out with the plan (8 bytes each); beyond it documents and shingles are joined by a shuffle.
 LITERALS = 20_000
-#: Most windows that are broadcast (below 200 bytes each); beyond it they are joined by a shuffle.
-BROADCAST_ROWS = 50_000
+#: Most bytes of a table that is broadcast, which are counted; a larger one is joined by a shuffle.
+BROADCAST_BYTES = 16 << 20
 
 
 def words(text: Column) -> Column:
@@ -63,6 +63,12 @@ def _parts(wins: DataFrame) -> DataFrame:
     return w.select("win", "k", "s", F.inline(F.transform(offs, _gram(F.col("w"), F.col("s"), "off"))))
 
 
+def _sent(df: DataFrame) -> DataFrame:
+    """``df``, to be broadcast if the bytes of its rows are few enough."""
+    size = sum((F.coalesce(F.octet_length(c), F.lit(0)) + 16 if t == "string" else F.lit(16) for c, t in df.dtypes), F.lit(64))
+    return F.broadcast(df) if df.agg(F.coalesce(F.sum(size.cast("long")), F.lit(0))).first()[0] <= BROADCAST_BYTES else df
+
+
 def _matches(docs: DataFrame, grams: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
     """One row for each document (``rid``, id, ``n_words``) and each place in it of a benchmark shingle (``rid``, ``n_words``, ``pos``, ``gram``)."""
     sizes = sorted(r.s for r in grams.select("s").distinct().collect())  # at most the shingle length, so a handful
@@ -106,17 +112,15 @@ def find_windows(docs: DataFrame, items: DataFrame, window: int = 10, shingle: i
     wins = materialise(windows_of(items, window, shingle, item_col, item_text_col))
     parts = materialise(_parts(wins))
     base, places = _matches(docs, parts.select("s", "gram").distinct(), id_col, text_col)
-    bounded = parts.count() <= BROADCAST_ROWS
-    small = F.broadcast if bounded else (lambda df: df)
 
     # The prefix of each window: its rarest shingle.  A window with a shingle that no document has cannot occur.
     often = places.groupBy("gram").agg(F.count("*").alias("often"))
     rank = Window.partitionBy("win").orderBy(F.col("often").asc_nulls_first(), "off")
     first = parts.join(often, "gram", "left").withColumn("r", F.row_number().over(rank)).where("r = 1 and often is not null")
-    prefix = first.select("gram", "off", "win", "k", "s")
+    prefix = _sent(materialise(first.select("gram", "off", "win", "k", "s")))
 
     # Length and positional bounds, then the words: shingles that cover the window must stand in their places.
-    cand = places.join(small(prefix), "gram").withColumn("start", F.col("pos") - F.col("off"))
+    cand = places.join(prefix, "gram").withColumn("start", F.col("pos") - F.col("off"))
     cand = cand.where((F.col("start") >= 0) & (F.col("start") + F.col("k") <= F.col("n_words")))
     need = F.array_distinct(F.concat(F.sequence(F.lit(0), F.col("k") - F.col("s"), F.col("s")), F.array(F.col("k") - F.col("s"))))
     probe = cand.select("rid", "start", "win", "k", "s", F.size(need).alias("needed"), F.explode(need).alias("j"))
@@ -131,7 +135,7 @@ def find_windows(docs: DataFrame, items: DataFrame, window: int = 10, shingle: i
     fresh = F.greatest(F.lit(0), F.col("start") + F.col("k") - F.greatest(F.col("start"), reach))
     covered = spans.withColumn("fresh", fresh).groupBy("rid").agg(F.sum("fresh").alias("n_hit"))
 
-    named = occ.select("rid", "win").join(small(wins.where("item is not null").select("win", "item")), "win").select("rid", "item").distinct()
+    named = occ.select("rid", "win").join(_sent(wins.where("item is not null").select("win", "item")), "win").select("rid", "item").distinct()
     named = named.groupBy("rid").agg(F.sort_array(F.collect_list("item")).alias("items"))
 
     out = base.join(covered, "rid", "left").join(named, "rid", "left")
@@ -141,8 +145,14 @@ def find_windows(docs: DataFrame, items: DataFrame, window: int = 10, shingle: i
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, window: int = 10, shingle: int = 5) -> DataFrame:
-    """The rows of ``docs`` in which no benchmark window occurs, with all their columns."""
-    spoilt = docs.select(F.sha2(F.coalesce(F.col("text"), F.lit("")), 256).alias("doc_id"), "text")
-    spoilt = find_windows(spoilt, items, window, shingle).where("contaminated").select(F.col("doc_id").alias("__spoilt")).distinct()
-    key = F.sha2(F.coalesce(docs["text"], F.lit("")), 256)
-    return docs.join(spoilt, key == spoilt["__spoilt"], "left_anti")
+    """The rows of ``docs`` in which no benchmark window occurs, with all their columns.
+
+    Null and empty texts, and all rows of the same text alike, stay or go; ids are not read; either table may be empty.
+    """
+    mark = unused(docs, "spoilt")
+    some = docs.where("text <> ''")
+    key = F.sha2("text", 256)
+    found = find_windows(some.select(key.alias("doc_id"), "text"), items, window, shingle).where("contaminated")
+    # A written table's size is known, so that Spark sends it to the documents if it is small.
+    spoilt = materialise(found.select(F.col("doc_id").alias(mark)).distinct())
+    return some.join(spoilt, key == F.col(mark), "left_anti").unionByName(docs.where("text is null or text = ''"))

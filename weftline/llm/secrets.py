@@ -13,7 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from weftline.llm.common import materialise
+from weftline.llm.common import materialise, unused
 
 
 @dataclass(frozen=True)
@@ -116,7 +116,8 @@ def scan(versions: DataFrame, rules: tuple[Rule, ...] = RULES, ledger: DataFrame
 
     valid = reduce(lambda c, r: c | ((F.col("kind") == r.kind) & (F.col("version") == r.version)), rules, F.lit(False))
     rank = reduce(lambda c, kr: c.when(F.col("kind") == kr[1].kind, kr[0]), enumerate(rules), F).cast("int")
-    spans = found.where(valid).groupBy("blob").agg(F.sort_array(F.collect_list(F.struct("start", rank.alias("rank"), "kind", "end"))).alias("spans"))
+    # The findings of a text are about as long as the text at most.
+    spans = materialise(found.where(valid).groupBy("blob").agg(F.sort_array(F.collect_list(F.struct("start", rank.alias("rank"), "kind", "end"))).alias("spans")))
     out = paths.join(spans, "blob", "left").select("doc_id", "blob", F.coalesce("spans", F.array().cast(f"array<{SPAN}>")).alias("spans"))
     return out, ledger, found
 
@@ -151,9 +152,14 @@ def redact(text: Column, spans: Column, mark: str = "[SECRET]") -> Column:
 
 
 def redact_documents(docs: DataFrame, rules: tuple[Rule, ...] = REDACTED) -> DataFrame:
-    """Every row of ``docs`` with the secrets in ``text`` replaced; all other columns stay as they are."""
+    """Every row of ``docs`` with the secrets in ``text`` replaced; all other columns stay as they are.
+
+    Null and empty texts stay, as do null ids and repeated rows; a table may be empty.
+    """
     paths, _, _ = scan(docs.select("doc_id", "text"), rules)
-    spans = paths.where(F.size("spans") > 0).select(F.col("blob").alias("__blob"), F.col("spans").alias("__spans")).distinct()
-    out = docs.join(spans, blob_of(docs["text"]) == spans["__blob"], "left")
-    text = redact(F.col("text"), F.coalesce("__spans", F.array().cast(f"array<{SPAN}>")))
+    blob, spans = unused(docs, "blob"), unused(docs, "spans")
+    # A written table's size is known, so that Spark sends it to the documents if it is small.
+    found = materialise(paths.where(F.size("spans") > 0).select(F.col("blob").alias(blob), F.col("spans").alias(spans)).distinct())
+    out = docs.join(found, blob_of(F.col("text")) == F.col(blob), "left")
+    text = redact(F.col("text"), F.coalesce(spans, F.array().cast(f"array<{SPAN}>")))
     return out.select(*[text.alias(c) if c == "text" else F.col(c) for c in docs.columns])
