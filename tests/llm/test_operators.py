@@ -290,8 +290,10 @@ def brute_repeats(rows, length=100):
     return Counter(out)
 
 
-@pytest.mark.parametrize("hot", [20_000, 1])
-def test_suffix_dedup(spark, real, hot):
+@pytest.mark.parametrize("hot", [4_000, 1, 5])
+def test_suffix_dedup(spark, real, monkeypatch, hot):
+    if hot == 1:
+        monkeypatch.setattr(common, "HOT_ROWS", 3)
     rng = random.Random(5)
     shared = "".join(rng.choice("abcde ") for _ in range(400))
     extra = [
@@ -303,6 +305,26 @@ def test_suffix_dedup(spark, real, hot):
     assert Counter(map(tuple, out.collect())) == brute_repeats(rows)
 
 
+def test_suffix_long_texts(spark):
+    """Texts of 50 KB, periodic ones among them, and more of the same passage within and across texts."""
+    rng = random.Random(15)
+    draw = lambda n: "".join(rng.choices("abcdefgh é", k=n))
+    base, line = draw(45_000), draw(140)
+    rows = [(1, base), (2, draw(20_000) + base[10_000:35_000] + draw(5_000)), (3, "abc" * 16_000), (4, "xy" + "abc" * 15_000 + "z"), (5, line.join(draw(90) for _ in range(200))), (6, draw(300) + line + draw(30)), (7, "q" * 50_000)]
+    out = suffix.remove_repeats(documents(spark, rows), hot=50, digest=True)
+    assert Counter(map(tuple, out.collect())) == brute_repeats(rows)
+
+
+def test_suffix_crowded_anchor(spark):
+    """A line that stands in 30,000 texts, with other words before and behind it each time."""
+    rng = random.Random(16)
+    line = "All of this text is licensed to you under terms that every one of its copies has to carry."
+    draw = lambda: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz ", k=30))
+    rows = [(k, draw() + line + (" " if k % 3 else "!") * (k % 5) + draw()) for k in range(30_000)]
+    out = suffix.remove_repeats(documents(spark, rows), digest=True)
+    assert Counter(map(tuple, out.collect())) == brute_repeats(rows)
+
+
 def test_suffix_edges(spark):
     twice = [(1, "k" * 50 + "m" * 70), (1, "k" * 50 + "m" * 70), (2, "p" * 100 + "r"), (2, "p" * 100 + "s")]
     got = suffix.remove_repeats(documents(spark, twice), digest=True).orderBy("doc_id", "n_removed").collect()

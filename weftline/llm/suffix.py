@@ -4,32 +4,37 @@ A byte goes if a string of ``length`` bytes around it also starts earlier.  Two
 place of the smallest of the hashes of their ``gram``-byte pieces.  So equal strings meet under the anchor's hash, each
 with its context: the bytes that any string around this anchor can cover.
 
-* Places with the same anchor and the same whole context: all but the first repeat all strings around the anchor.
+* Places with the same anchor and the same whole context, by two 64-bit hashes: all but the first repeat all strings around it.
 * Different contexts of an anchor are sorted as suffixes from the anchor on, by a mergesort whose comparisons find the
   common extension of two suffixes by binary search on prefix polynomial hashes.  Neighbours' common extensions give the
   groups with equal right parts for each offset, and the hashes of the left parts split these.  Both are then verified
   byte by byte; after a collision the sort starts anew with another base.
-* An anchor with more different contexts than one task should hold is not sorted: its strings are counted as a table.
+* The contexts of an anchor that has more than one task should hold are split before: strings that begin a to b bytes before
+  the anchor share the a bytes to its left and ``length - b`` from it on, so that contexts which differ there need not meet for
+  these offsets.  The offsets are halved until the parts are small, or one offset is left and with it one string.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.common import discard, materialise, mix, slices
+from weftline.llm.common import discard, materialise, mix, skew_join, slices
 
 #: Bytes of the pieces that anchors are chosen from.
 GRAM = 32
-#: Most different contexts of an anchor that one task sorts.
-HOT = 20_000
-#: Bits of the filter that tells anchors that occur once (it has this size for any input; where it is full, nothing is left out).
-FILTER_BITS = 27
+#: Most different contexts that are sorted together; those of an anchor that has more are split.
+HOT = 4_000
+#: The filter that tells anchors that occur once has so many bits for each one that repeats, but at most 2 ** MOST_BITS (64 MB) in all.
+#: Where it fills up it lets more through, and nothing is left out.
+FILTER_BITS, MOST_BITS = 16, 29
 #: Bytes of text that are hashed at a time, and contexts that are sorted at a time where the anchors have few.
 CHUNK, SORTED = 1 << 18, 20_000
 LAST = 0x7FFFFFFFFFFFFFFF
@@ -144,16 +149,20 @@ def _filter(repeated: DataFrame, bits: int) -> np.ndarray:
                 np.bitwise_or.at(cells, (low >> np.uint64(3)).astype(np.int64), (np.uint64(1) << (low & np.uint64(7))).astype(np.uint8))
         yield pa.RecordBatch.from_arrays([pa.array(list(parts), pa.int32()), pa.array([x.tobytes() for x in parts.values()], pa.binary())], names=["part", "bits"])
 
-    parts = repeated.repartition(64, F.shiftrightunsigned("h", 58)).mapInArrow(build, "part int, bits binary")
+    parts = materialise(repeated.repartition(64, F.shiftrightunsigned("h", 58)).mapInArrow(build, "part int, bits binary"))
     out = np.zeros((64, 1 << (bits - 6 - 3)), dtype=np.uint8)
-    for row in parts.toLocalIterator():
-        out[row.part] = np.frombuffer(row.bits, dtype=np.uint8)
+    for row in parts.toLocalIterator():  # 2 ** bits / 8 bytes in all
+        out[row.part] |= np.frombuffer(row.bits, dtype=np.uint8)
+    discard(parts)
     return out
 
 
-def _places(docs: DataFrame, length: int, gram: int, bits: int) -> DataFrame:
+def _places(docs: DataFrame, length: int, gram: int, most_bits: int) -> DataFrame:
     """Anchors that may repeat: ``h``, ``c`` (hash of the context), and ``doc``, ``tie``, ``pos`` of the place."""
-    known = docs.sparkSession.sparkContext.broadcast(_filter(_repeated(docs, length, gram), bits))  # 2 ** bits / 8 bytes
+    repeated = materialise(_repeated(docs, length, gram))
+    bits = min(most_bits, max(12, math.ceil(math.log2(FILTER_BITS * max(1, repeated.count())))))
+    known = docs.sparkSession.sparkContext.broadcast(_filter(repeated, bits))
+    discard(repeated)
 
     def run(batches):
         table = known.value
@@ -248,22 +257,25 @@ class Suffixes:
         return bool(((n < 0) | same & (x <= y)).all())
 
 
-def repeats(group: np.ndarray, rank: np.ndarray, left: np.ndarray, left_size: np.ndarray, right: np.ndarray, right_size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def repeats(
+    group: np.ndarray, rank: np.ndarray, left: np.ndarray, left_size: np.ndarray, right: np.ndarray, right_size: np.ndarray, low: np.ndarray | int = 0, high: np.ndarray | int = 1 << 30
+) -> tuple[np.ndarray, np.ndarray]:
     """For each context the smallest and largest offset (bytes before its anchor) of a string that an earlier one holds, or -1.
 
-    ``left``: bytes before the anchor, the nearest first; ``rank``: the order of the places.
+    ``left``: bytes before the anchor, the nearest first; ``rank``: the order of the places; ``low`` and ``high``: the offsets that count.
     """
     length, n = right.shape[1], len(group)
     s = Suffixes(group, right, right_size)
     order = s.order
     lowest, highest = np.full(n, -1), np.full(n, -1)
     l, ls, rs, rk = left[order], left_size[order], right_size[order], rank[order]
+    first, last = np.broadcast_to(low, n)[order], np.broadcast_to(high, n)[order]
     for seed in range(1, 1000):
         lh, clean = Suffixes._hashes(l, seed), True
         lowest[:], highest[:] = -1, -1
         for t in range(left.shape[1] + 1):
             part = np.cumsum(s.lcp < length - t)
-            can = np.flatnonzero((ls >= t) & (rs >= length - t))
+            can = np.flatnonzero((ls >= t) & (rs >= length - t) & (first <= t) & (t <= last))
             if len(can) < 2:
                 continue
             by = can[np.lexsort((rk[can], lh[can, t], part[can]))]
@@ -280,51 +292,81 @@ def repeats(group: np.ndarray, rank: np.ndarray, left: np.ndarray, left_size: np
     return lowest, highest
 
 
-def _contexts(batches, length: int, gram: int):
-    """Contexts of listed places (``at``: array of h and pos) of each text, as rows of two matrices."""
+def _contexts(rows: DataFrame, length: int, gram: int) -> DataFrame:
+    """The contexts of listed places (``at``: array of pos, h and contexts) of each text: their bytes to the left, the nearest first, and to the right."""
     reach = length - gram
-    for batch in batches:
-        for doc, tie, text, at in zip(*[batch.column(k).to_pylist() for k in ("doc", "tie", "text", "at")], strict=True):
-            raw = np.frombuffer((text or "").encode(), dtype=np.uint8)
-            for low in range(0, len(at), 4096):
-                some = at[low : low + 4096]
-                pos = np.array([x["pos"] for x in some])
-                padded = np.concatenate([np.zeros(reach, dtype=np.uint8), raw, np.zeros(length, dtype=np.uint8)])
-                right = padded[pos[:, None] + reach + np.arange(length)]
-                left = padded[pos[:, None] + reach - 1 - np.arange(reach)]
-                yield doc, tie, pos, np.array([x["h"] for x in some], dtype=np.int64), left, np.minimum(pos, reach), right, np.minimum(len(raw) - pos, length)
+
+    def cut(batches):
+        for batch in batches:
+            for doc, tie, text, at in zip(*[batch.column(k).to_pylist() for k in ("doc", "tie", "text", "at")], strict=True):
+                raw = (text or "").encode()
+                padded = np.frombuffer(bytes(reach) + raw + bytes(length), dtype=np.uint8)
+                for low in range(0, len(at), 4096):
+                    some = at[low : low + 4096]
+                    n, pos = len(some), np.array([x["pos"] for x in some])
+                    right, right_size = padded[pos[:, None] + reach + np.arange(length)], np.minimum(len(raw) - pos, length)
+                    left, left_size = padded[pos[:, None] + reach - 1 - np.arange(reach)], np.minimum(pos, reach)
+                    cols = [pa.array([x[k] for x in some], pa.int64()) for k in ("h", "contexts")]
+                    cols += [pa.array(np.full(n, doc)), pa.array(np.full(n, tie)), pa.array(pos)]
+                    cols += [pa.array([x[:k].tobytes() for x, k in zip(m, sizes, strict=True)], pa.binary()) for m, sizes in ((left, left_size), (right, right_size))]
+                    yield pa.RecordBatch.from_arrays(cols, names=["h", "contexts", "doc", "tie", "pos", "l", "r"])
+
+    return rows.mapInArrow(cut, "h long, contexts long, doc long, tie long, pos long, l binary, r binary")
+
+
+def _split(hot: DataFrame, length: int, gram: int, most: int) -> tuple[list[DataFrame], list[DataFrame]]:
+    """Contexts of anchors with too many of them: tables of parts that can be sorted, and of spans that are known to repeat.
+
+    Contexts are parted by the bytes that all strings of the offsets ``a`` to ``b`` share, as hashes: which strings are equal is
+    told by the sort, or by the strings themselves where one offset is left.
+    """
+    place, ready, spans = F.struct("doc", "tie", "pos"), [], []
+    rows = hot.select("h", "doc", "tie", "pos", "l", "r", F.lit(0).alias("a"), F.lit(length - gram).alias("b"))
+    while True:
+        half = F.floor((F.col("a") + F.col("b")) / 2).cast("int")
+        halves = F.array(F.struct(F.col("a").alias("a"), half.alias("b")), F.struct((half + 1).alias("a"), F.col("b").alias("b")))
+        rows = rows.withColumn("part", F.explode(halves)).select("h", "doc", "tie", "pos", "l", "r", "part.a", "part.b")
+        # Where a string of every offset of the part would reach over an end of the text, there is none.
+        rows = rows.where((F.octet_length("l") >= F.col("a")) & (F.octet_length("r") >= length - F.col("b")))
+        head = F.expr("substring(l, 1, a)"), F.expr(f"substring(r, 1, {length} - b)")
+        rows = materialise(rows.withColumn("key", F.xxhash64("h", "a", "b", *head)))
+        many = rows.groupBy("key").agg(F.count("*").alias("many")).where("many > 1")
+        known = materialise(skew_join(rows, many, ["key"], "many", rows.count()))
+        discard(rows)
+        single = known.where("a = b")
+        string = single.select("doc", "tie", "pos", "a", F.concat(*head).alias("w"))
+        least = string.groupBy("a", "w").agg(F.min(F.struct("doc", "tie", "pos")).alias("f"), F.count("*").alias("many")).where("many > 1")
+        start = F.col("pos") - F.col("a")
+        spans.append(materialise(skew_join(string, least, ["a", "w"], "many", string.count()).where(place != F.col("f")).select("doc", "tie", start.alias("lo"), (start + length).alias("hi"))))
+        ready.append(known.where(F.col("a") < F.col("b")).where(F.col("many") <= most).select("key", "doc", "tie", "pos", "l", "r", "a", "b"))
+        rows = known.where(F.col("a") < F.col("b")).where(F.col("many") > most)
+        if rows.isEmpty():
+            return ready, spans
 
 
 def _sorted_repeats(rows: DataFrame, length: int, gram: int) -> DataFrame:
-    """What earlier places repeat, for anchors whose contexts one task can sort: ``doc``, ``tie``, ``lo``, ``hi``."""
+    """What earlier places repeat at the offsets ``a`` to ``b``, within each ``key``: ``doc``, ``tie``, ``lo``, ``hi``."""
     reach = length - gram
 
-    def cut(batches):
-        for doc, tie, pos, h, left, ls, right, rs in _contexts(batches, length, gram):
-            n = len(pos)
-            cols = [pa.array(h), pa.array(np.full(n, doc)), pa.array(np.full(n, tie)), pa.array(pos)]
-            cols += [pa.array([x[:k].tobytes() for x, k in zip(m, sizes, strict=True)], pa.binary()) for m, sizes in ((left, ls), (right, rs))]
-            yield pa.RecordBatch.from_arrays(cols, names=["h", "doc", "tie", "pos", "l", "r"])
-
-    def solve(h, doc, tie, pos, l, r) -> pa.RecordBatch:
-        def matrix(parts: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray]:
-            sizes = np.array([len(x) for x in parts])
-            out = np.zeros((len(parts), width), dtype=np.uint8)
-            out[np.arange(width) < sizes[:, None]] = np.frombuffer(b"".join(parts), dtype=np.uint8)
-            return out, sizes
-
-        h, doc, tie, pos = (np.concatenate(x) for x in (h, doc, tie, pos))
-        rank = np.empty(len(h), dtype=np.int64)
-        rank[np.lexsort((pos, tie, doc))] = np.arange(len(h))
-        low, high = repeats(h, rank, *matrix(l, reach), *matrix(r, length))
+    def matrix(parts: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray]:
+        sizes = np.array([len(x) for x in parts])
+        out = np.zeros((len(parts), width), dtype=np.uint8)
+        out[np.arange(width) < sizes[:, None]] = np.frombuffer(b"".join(parts), dtype=np.uint8)
+        return out, sizes
+
+    def solve(key, doc, tie, pos, a, b, l, r) -> pa.RecordBatch:
+        key, doc, tie, pos, a, b = (np.concatenate(x) for x in (key, doc, tie, pos, a, b))
+        rank = np.empty(len(key), dtype=np.int64)
+        rank[np.lexsort((pos, tie, doc))] = np.arange(len(key))
+        low, high = repeats(key, rank, *matrix(l, reach), *matrix(r, length), a, b)
         hit = np.flatnonzero(low >= 0)
         return pa.RecordBatch.from_arrays([pa.array(x) for x in (doc[hit], tie[hit], pos[hit] - high[hit], pos[hit] - low[hit] + length)], names=["doc", "tie", "lo", "hi"])
 
     def run(batches):
-        held: list[list] = [[] for _ in range(6)]
+        held: list[list] = [[] for _ in range(8)]
         count, last = 0, None
         for batch in batches:
-            cols = [batch.column(k).to_numpy(zero_copy_only=False) for k in ("h", "doc", "tie", "pos")]
+            cols = [batch.column(k).to_numpy(zero_copy_only=False) for k in ("key", "doc", "tie", "pos", "a", "b")]
             l, r = batch.column("l").to_pylist(), batch.column("r").to_pylist()
             edge = [0, *(np.flatnonzero(np.diff(cols[0])) + 1).tolist(), batch.num_rows]
             for s, e in zip(edge[:-1], edge[1:], strict=True):
@@ -332,39 +374,19 @@ def _sorted_repeats(rows: DataFrame, length: int, gram: int) -> DataFrame:
                     continue
                 if count >= SORTED and cols[0][s] != last:
                     yield solve(*held)
-                    held, count = [[] for _ in range(6)], 0
-                for k in range(4):
+                    held, count = [[] for _ in range(8)], 0
+                for k in range(6):
                     held[k].append(cols[k][s:e])
-                held[4] += l[s:e]
-                held[5] += r[s:e]
+                held[6] += l[s:e]
+                held[7] += r[s:e]
                 count, last = count + e - s, cols[0][s]
         if count:
             yield solve(*held)
 
-    cuts = rows.mapInArrow(cut, "h long, doc long, tie long, pos long, l binary, r binary")
-    return cuts.repartition("h").sortWithinPartitions("h").mapInArrow(run, "doc long, tie long, lo long, hi long")
-
-
-def _counted_repeats(rows: DataFrame, length: int, gram: int) -> DataFrame:
-    """The same for anchors with any number of contexts: all strings around them in a table, where all but the first go."""
-    reach = length - gram
-
-    def strings(batches):
-        for doc, tie, pos, _, left, ls, right, rs in _contexts(batches, length, gram):
-            both, out = np.concatenate([left[:, ::-1], right], axis=1), []
-            for t in range(reach + 1):
-                for i in np.flatnonzero((ls >= t) & (rs >= length - t)).tolist():
-                    out.append((hashlib.blake2b(both[i, reach - t : reach - t + length].tobytes(), digest_size=16).digest(), int(pos[i]) - t))
-            n = len(out)
-            cols = [pa.array([x[0] for x in out], pa.binary()), pa.array([doc] * n, pa.int64()), pa.array([tie] * n, pa.int64()), pa.array([x[1] for x in out], pa.int64())]
-            yield pa.RecordBatch.from_arrays(cols, names=["w", "doc", "tie", "lo"])
-
-    all_ = rows.mapInArrow(strings, "w binary, doc long, tie long, lo long").distinct()
-    first = all_.groupBy("w").agg(F.min(F.struct("doc", "tie", "lo")).alias("first"))
-    return all_.join(first, "w").where(F.struct("doc", "tie", "lo") != F.col("first")).select("doc", "tie", "lo", (F.col("lo") + length).alias("hi"))
+    return rows.repartition("key").sortWithinPartitions("key").mapInArrow(run, "doc long, tie long, lo long, hi long")
 
 
-def remove_repeats(docs: DataFrame, length: int = 100, gram: int = GRAM, hot: int = HOT, bits: int = FILTER_BITS, digest: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = 100, gram: int = GRAM, hot: int = HOT, bits: int = MOST_BITS, digest: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Remove each byte covered by a string of ``length`` bytes that also starts earlier, in UTF-8 and within documents.
 
     Earlier is a smaller ``doc_id``, or an earlier start in the same document.  Returns for each row ``doc_id``, ``n_bytes``,
@@ -378,27 +400,34 @@ def remove_repeats(docs: DataFrame, length: int = 100, gram: int = GRAM, hot: in
     tie = F.xxhash64("text") if several else F.lit(0).cast("long")
     keyed = rows.select(F.coalesce("doc_id", F.lit(LAST)).alias("doc"), tie.alias("tie"), "text", "doc_id")
 
+    place = F.struct("doc", "tie", "pos")
     places = materialise(_places(keyed.select("doc", "tie", "text"), length, gram, bits))
-    first = places.groupBy("h", "c").agg(F.min(F.struct("doc", "tie", "pos")).alias("f"), F.count("*").alias("n"))
-    first = materialise(first.select("h", "c", "f.*", (F.col("n") > 1).alias("more")))
+    first = places.groupBy("h", "c").agg(F.min(place).alias("f"), F.count("*").alias("many"))
+    first = materialise(first.select("h", "c", "f.*", "many"))
     reach = length - gram
     span = [F.greatest(F.lit(0), F.col("pos") - reach).alias("lo"), (F.col("pos") + length).alias("hi")]
-    again = first.where("more").select("h", "c", F.struct("doc", "tie", "pos").alias("f"))
-    # Each table is written by itself, so that the shuffle behind it is gone before the next.
-    whole = places.join(again, ["h", "c"]).where(F.struct("doc", "tie", "pos") != F.col("f")).select("doc", "tie", *span)
+    again = first.where("many > 1").select("h", "c", place.alias("f"), "many")
+    # Each table is written by itself, so that the shuffle behind it is gone before the next.  The spans of a text are listed in
+    # one row: they are fewer than its anchors, of which there is one to each few dozen bytes.
+    whole = skew_join(places, again, ["h", "c"], "many", places.count()).where(place != F.col("f")).select("doc", "tie", *span)
     whole = materialise(whole.groupBy("doc", "tie").agg(F.collect_set(F.struct("lo", "hi")).alias("gone")))
+    discard(places)
 
     several = first.groupBy("h").agg(F.count("*").alias("contexts")).where("contexts > 1")
-    mixed = first.join(several, "h").groupBy("doc", "tie", (F.col("contexts") > hot).alias("hot")).agg(F.collect_list(F.struct("pos", "h")).alias("at"))
-    mixed = materialise(mixed)
-    discard(places, first)
-    texts = keyed.select("doc", "tie", "text")
-    parts = [_sorted_repeats, _counted_repeats] if not mixed.where("hot").isEmpty() else [_sorted_repeats]
-    spans = whole.select("doc", "tie", F.inline("gone"))
-    for solve, is_hot in zip(parts, (False, True), strict=False):
-        spans = spans.union(solve(texts.join(mixed.where(F.col("hot") == is_hot), ["doc", "tie"]).select("doc", "tie", "text", "at"), length, gram))
+    mixed = skew_join(first.select("h", "doc", "tie", "pos"), several, ["h"], "contexts", first.count())
+    mixed = materialise(mixed.groupBy("doc", "tie").agg(F.collect_list(F.struct("pos", "h", "contexts")).alias("at")))
+    discard(first)
+    cuts = materialise(_contexts(keyed.select("doc", "tie", "text").join(mixed, ["doc", "tie"]), length, gram))
+    discard(mixed)
+    sort = [cuts.where(F.col("contexts") <= hot).select(F.col("h").alias("key"), "doc", "tie", "pos", "l", "r", F.lit(0).alias("a"), F.lit(reach).alias("b"))]
+    known = []
+    crowded = cuts.where(F.col("contexts") > hot)
+    if not crowded.isEmpty():
+        more, known = _split(crowded, length, gram, hot)
+        sort += more
+    spans = reduce(DataFrame.union, [whole.select("doc", "tie", F.inline("gone")), _sorted_repeats(reduce(DataFrame.union, sort), length, gram), *known])
     spans = materialise(spans.groupBy("doc", "tie").agg(F.collect_set(F.struct("lo", "hi")).alias("gone")))
-    discard(whole, mixed)
+    discard(whole, cuts)
 
     def run(batches):
         for whole_batch in batches:
