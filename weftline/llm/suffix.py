@@ -31,7 +31,7 @@ from weftline.llm.common import discard, materialise, mix, skew_join, slices
 #: Bytes of the pieces that anchors are chosen from.
 GRAM = 32
 #: Most different contexts that are sorted together; those of an anchor that has more are split.
-HOT = 4_000
+HOT = 20_000
 #: The filter that tells anchors that occur once has so many bits for each one that repeats, but at most 2 ** MOST_BITS (64 MB) in all.
 #: Where it fills up it lets more through, and nothing is left out.
 FILTER_BITS, MOST_BITS = 16, 29
@@ -143,13 +143,14 @@ def _filter(repeated: DataFrame, bits: int) -> np.ndarray:
         parts: dict[int, np.ndarray] = {}
         for batch in batches:
             h = batch.column("h").to_numpy(zero_copy_only=False).view(np.uint64)
-            for part in np.unique(h >> np.uint64(58)).tolist():
-                low = h[h >> np.uint64(58) == part] & np.uint64((1 << (bits - 6)) - 1)
+            # Anchors' hashes are the smallest of many, so that only their lower bits are evenly spread.
+            for part in np.unique(h & np.uint64(63)).tolist():
+                low = h[h & np.uint64(63) == part] >> np.uint64(6) & np.uint64((1 << (bits - 6)) - 1)
                 cells = parts.setdefault(part, np.zeros(1 << (bits - 6 - 3), dtype=np.uint8))
                 np.bitwise_or.at(cells, (low >> np.uint64(3)).astype(np.int64), (np.uint64(1) << (low & np.uint64(7))).astype(np.uint8))
         yield pa.RecordBatch.from_arrays([pa.array(list(parts), pa.int32()), pa.array([x.tobytes() for x in parts.values()], pa.binary())], names=["part", "bits"])
 
-    parts = materialise(repeated.repartition(64, F.shiftrightunsigned("h", 58)).mapInArrow(build, "part int, bits binary"))
+    parts = materialise(repeated.repartition(64, F.col("h").bitwiseAND(63)).mapInArrow(build, "part int, bits binary"))
     out = np.zeros((64, 1 << (bits - 6 - 3)), dtype=np.uint8)
     for row in parts.toLocalIterator():  # 2 ** bits / 8 bytes in all
         out[row.part] |= np.frombuffer(row.bits, dtype=np.uint8)
@@ -168,8 +169,8 @@ def _places(docs: DataFrame, length: int, gram: int, most_bits: int) -> DataFram
         table = known.value
         for batch, _, data, ends in _batches(batches):
             at, h, c = anchors(data, ends, length, gram)
-            low = h & np.uint64((1 << (bits - 6)) - 1)
-            seen = table[(h >> np.uint64(58)).astype(np.int64), (low >> np.uint64(3)).astype(np.int64)] >> (low & np.uint64(7)).astype(np.uint8) & 1
+            low = h >> np.uint64(6) & np.uint64((1 << (bits - 6)) - 1)
+            seen = table[(h & np.uint64(63)).astype(np.int64), (low >> np.uint64(3)).astype(np.int64)] >> (low & np.uint64(7)).astype(np.uint8) & 1
             at, h, c = at[seen == 1], h[seen == 1], c[seen == 1]
             doc = np.searchsorted(ends, at, side="right")
             pos = at - np.concatenate([[0], ends])[doc]
