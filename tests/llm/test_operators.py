@@ -561,7 +561,8 @@ def test_super_minhash_estimates_similarity():
     assert abs(np.mean(same) - 0.6) < 0.03 and np.std(same) < np.sqrt(0.6 * 0.4 / 64)
     assert (minhash.super_minhash([common_[:1]], 64) >> 40).max() == 63  # one element fills every place of its permutation
     # The bound on agreeing places loses a pair at the threshold with a chance of 1e-9 only.
-    tail = lambda k: sum(math.comb(180, i) * 0.85**i * 0.15 ** (180 - i) for i in range(k))
+    same = 0.85 + 0.15 / 16  # of places that differ, one in sixteen has the same four bits
+    tail = lambda k: sum(math.comb(180, i) * same**i * (1 - same) ** (180 - i) for i in range(k))
     least = minhash.least_matches(0.85, 180)
     assert tail(least) <= 1e-9 < tail(least + 1) and minhash.least_matches(1.0, 9) == 9
 
@@ -584,6 +585,29 @@ def test_spanning_links(case):
     assert [want.find(a) for a in range(n)] == [got.find(a) for a in range(n)]
 
 
+def test_sketches():
+    sig = np.random.default_rng(1).integers(0, 2**50, (7, 5))
+    got = minhash.places_of(minhash.sketches(sig))
+    assert got.shape == (7, 6) and sorted(got[3].tolist()) == sorted([0, *(sig[3] & 15).tolist()])
+    assert all((got[i] == got[j]).sum() == 1 + ((sig[i] ^ sig[j]) & 15 == 0).sum() for i in range(7) for j in range(7))
+
+
+def test_scopes(spark):
+    """Tables of a scope are deleted at its end, unless they are kept for the one around it."""
+    one = spark.range(3)
+    with common.scope() as keep:
+        with common.scope() as inner:
+            a, b = common.materialise(one), inner(common.materialise(one))
+        assert b.count() == 3 and not common._exists(spark, a._materialised_at)
+        c = keep(common.materialise(one))
+    assert c.count() == 3 and not common._exists(spark, b._materialised_at)
+    common.discard(c)
+    with pytest.raises(ValueError), common.scope():
+        d = common.materialise(one)
+        raise ValueError
+    assert not common._exists(spark, d._materialised_at)
+
+
 def test_exact_sets():
     texts = ["a b c a b c", "A  B\tc", "a b", "b a", "a b c d", "x\x0by z", "é É é"]
     got = minhash.exact_sets(texts, 3)

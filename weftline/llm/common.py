@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -51,9 +53,36 @@ def materialise(df: DataFrame) -> DataFrame:
         spark.conf.set(_CLEANUP, before)
     out = spark.read.schema(df.schema).parquet(path)
     out._materialised_at = path
+    if (tables := getattr(_made, "tables", None)) is not None:
+        tables.append(out)
     return out
 
 
+#: The tables of the innermost ``scope`` of each thread.
+_made = threading.local()
+
+
+@contextmanager
+def scope() -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Delete the tables that are written inside at its end, but for those that are passed to the function it gives."""
+    outer = getattr(_made, "tables", None)
+    _made.tables = mine = []
+    kept: list[DataFrame] = []
+
+    def keep(df: DataFrame) -> DataFrame:
+        kept.append(df)
+        return df
+
+    try:
+        yield keep
+    finally:
+        _made.tables = outer
+        stay = {df._materialised_at for df in kept}
+        discard(*[df for df in mine if df._materialised_at not in stay])
+        if outer is not None:
+            outer += kept
+
+
 def discard(*tables: DataFrame) -> None:
     """Delete the files of tables that ``materialise`` returned and that nothing reads any more."""
     for df in tables:
@@ -95,9 +124,19 @@ def release(spark: SparkSession) -> None:
     _delete(spark, f"{shared_dir(spark)}/weftline/{spark.sparkContext.applicationId}")
 
 
-def _delete(spark: SparkSession, name: str) -> None:
+def _on_its_file_system(spark: SparkSession, name: str):
     path = spark._jvm.org.apache.hadoop.fs.Path(name)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()), path
+
+
+def _delete(spark: SparkSession, name: str) -> None:
+    system, path = _on_its_file_system(spark, name)
+    system.delete(path, True)
+
+
+def _exists(spark: SparkSession, name: str) -> bool:
+    system, path = _on_its_file_system(spark, name)
+    return system.exists(path)
 
 
 def held_out(doc_id: Column) -> Column:

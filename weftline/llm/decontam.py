@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from weftline.llm.common import lower_ascii, materialise, unused
+from weftline.llm.common import lower_ascii, materialise, scope, unused
 
 #: What separates words: every ASCII character but digits and lower-case letters.
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -152,7 +152,8 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = 10, shingle:
     mark = unused(docs, "spoilt")
     some = docs.where("text <> ''")
     key = F.sha2("text", 256)
-    found = find_windows(some.select(key.alias("doc_id"), "text"), items, window, shingle).where("contaminated")
-    # A written table's size is known, so that Spark sends it to the documents if it is small.
-    spoilt = materialise(found.select(F.col("doc_id").alias(mark)).distinct())
+    with scope() as keep:
+        found = find_windows(some.select(key.alias("doc_id"), "text"), items, window, shingle).where("contaminated")
+        # A written table's size is known, so that Spark sends it to the documents if it is small.
+        spoilt = keep(materialise(found.select(F.col("doc_id").alias(mark)).distinct()))
     return some.join(spoilt, key == F.col(mark), "left_anti").unionByName(docs.where("text is null or text = ''"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.common import discard, materialise, skew_join
+from weftline.llm.common import materialise, scope, skew_join
 
 
 class UnionFind:
@@ -33,8 +33,15 @@ def components(edges: DataFrame) -> DataFrame:
     Large-star and small-star rounds in turn until every node hangs from its root.  Each round is written out, so that a
     lost executor costs one round at most.  Equal ends and repeated links are ignored.
     """
-    pairs = materialise(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-    while not _stars(pairs):
+    with scope() as keep:
+        pairs = materialise(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+        while not _stars(pairs):
+            pairs = _round(pairs)
+        return keep(pairs).select(F.col("u").alias("node"), F.col("v").alias("root"))
+
+
+def _round(pairs: DataFrame) -> DataFrame:
+    with scope() as keep:
         total = 2 * pairs.count()
         both = pairs.union(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("many")).select("u", F.least("u", "m").alias("m"), "many")
@@ -43,9 +50,7 @@ def components(edges: DataFrame) -> DataFrame:
         small = skew_join(large, low, ["u"], "many", total)
         # The smallest neighbour stays one, and all others become its neighbours.
         small = small.select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
-        before, pairs = pairs, materialise(small.where("u <> v").distinct())
-        discard(before, large)
-    return pairs.select(F.col("u").alias("node"), F.col("v").alias("root"))
+        return keep(materialise(small.where("u <> v").distinct()))
 
 
 def _stars(pairs: DataFrame) -> bool:

@@ -298,9 +298,12 @@ def train(docs: DataFrame, rows_each: int = ROWS_EACH, rows: int = ROWS) -> Crf:
     if not count:
         return Crf([], np.zeros((1 << BITS, 0)), np.zeros((0, 0)))
     each = max(LEAST_ROWS, min(rows_each, rows // count))
-    # Spark keeps so many rows of a language in each task before they meet.
-    first = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    ids = known.select("doc_id", "lang").distinct().withColumn("k", first).where(F.col("k") <= each).drop("k")
+    # Spark keeps so many rows of a language in each task before they meet, and again in each part of a language.
+    ids = known.select("doc_id", "lang").distinct().withColumn("part", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(64)))
+    for by in (["lang", "part"], ["lang"]):
+        first = F.row_number().over(Window.partitionBy(*by).orderBy(F.xxhash64("doc_id"), "doc_id"))
+        ids = ids.withColumn("k", first).where(F.col("k") <= each).drop("k")
+    ids = ids.drop("part")
     # At most as many rows as the bound, or the least number of each language, are broadcast.
     some = known.select("doc_id", "lang", "text").join(F.broadcast(ids), ["doc_id", "lang"]).groupBy("doc_id", "lang").agg(F.min("text").alias("text"))
     got = sorted((r.lang, r.doc_id, r.text) for r in some.toLocalIterator())

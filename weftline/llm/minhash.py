@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.common import materialise, mix, skew_join, slices, unused
+from weftline.llm.common import discard, materialise, mix, scope, skew_join, slices, unused
 from weftline.llm.graph import components
 
 #: Values in a band.
@@ -33,6 +33,8 @@ MISS, SKETCH_MISS = 1e-6, 1e-9
 SHARED = 6
 #: Most nodes of one block of a band; most documents and shingles in one block of a cluster.
 BLOCK_NODES, BLOCK_DOCS, BLOCK_SHINGLES = 4096, 512, 200_000
+#: Bits of a place that are compared to tell neighbours.
+BITS = 4
 #: Rounds after which the permutations of the shingles that are left are written out.
 DENSE = 24
 
@@ -150,15 +152,27 @@ def band_count(threshold: float, rows: int = ROWS, miss: float = MISS) -> int:
 
 
 def least_matches(threshold: float, places: int, miss: float = SKETCH_MISS) -> int:
-    """The places in which the signatures of two sets at the threshold agree, but for a chance of ``miss``."""
-    below = 0.0
+    """The places of which ``BITS`` bits agree between the signatures of two sets at the threshold, but for a chance of ``miss``."""
+    same, below = threshold + (1 - threshold) / (1 << BITS), 0.0
     for k in range(places + 1):
-        below += math.comb(places, k) * threshold**k * (1 - threshold) ** (places - k)
+        below += math.comb(places, k) * same**k * (1 - same) ** (places - k)
         if below > miss:
             return k
     return places
 
 
+def sketches(sig: np.ndarray) -> list[bytes]:
+    """The last ``BITS`` bits of each place, two places to a byte."""
+    low = (np.pad(sig, ((0, 0), (0, sig.shape[1] % 2))) & 0xF).astype(np.uint8)
+    return [row.tobytes() for row in low[:, ::2] | low[:, 1::2] << 4]
+
+
+def places_of(sketch: list[bytes]) -> np.ndarray:
+    """The places of sketches as rows; one is added to an odd number of them."""
+    both = np.frombuffer(b"".join(sketch), dtype=np.uint8).reshape(len(sketch), -1)
+    return np.concatenate([both & 0xF, both >> 4], axis=1)
+
+
 def bands(sig: np.ndarray, rows: int = ROWS) -> np.ndarray:
     """A hash of each band of each signature."""
     parts = sig.astype(np.uint64).reshape(len(sig), -1, rows)
@@ -169,7 +183,7 @@ def bands(sig: np.ndarray, rows: int = ROWS) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, shingle: int, count: int) -> DataFrame:
-    """``doc_id``, ``n``: size of the shingle set, ``h1`` and ``h2``: address of the set, ``bands``, ``sketch``: a byte for each place."""
+    """``doc_id``, ``n``: size of the shingle set, ``h1`` and ``h2``: address of the set, ``bands``, ``sketch``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -182,7 +196,7 @@ def signatures(docs: DataFrame, shingle: int, count: int) -> DataFrame:
                 cols = [batch.column("doc_id"), pa.array([len(x) for x in sets], pa.int64())]
                 cols += [pa.array(np.array(v, dtype=np.uint64).view(np.int64)) for v in (ones, twos)]
                 cols.append(pa.array([b if len(x) else None for b, x in zip(found, sets, strict=True)], pa.list_(pa.int64())))
-                cols.append(pa.array([s.tobytes() for s in (sig & 0xFF).astype(np.uint8)], pa.binary()))
+                cols.append(pa.array(sketches(sig), pa.binary()))
                 yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "n", "h1", "h2", "bands", "sketch"])
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text")).mapInArrow(run, "doc_id long, n long, h1 long, h2 long, bands array<long>, sketch binary")
@@ -290,59 +304,61 @@ def _solved(rows: DataFrame, solve: Callable[[pa.Table], Linked]) -> DataFrame:
 
 
 def links_within(members: DataFrame, payload: DataFrame, solve: Callable[[pa.Table], Linked], most: int, weight: int | None = None) -> DataFrame:
-    """Links that join whatever is linked within each group of ``members`` (``group``, ``node``, ``part``, ``n``), as a written table.
+    """Links that join whatever is linked within each group of ``members`` (``group``, ``node``, ``part``), as a written table.
 
     ``payload`` has a row for each node, with what ``solve`` needs.  A group of more than ``most`` nodes, or more than ``weight``
-    in ``n``, is dealt to blocks, each of which also gets the group's smallest node; nodes that are then not connected with
+    in their column ``n``, is dealt to blocks, each of which also gets the group's smallest node; nodes that are then not connected with
     most of their group visit every other block.
     """
-    count, total = F.count("*"), members.count()
-    blocks = F.ceil(count / most) if weight is None else F.greatest(F.ceil(count / most), F.ceil(F.sum("n") / weight))
-    sizes = members.groupBy("group").agg(count.alias("many"), blocks.cast("int").alias("blocks"), F.min("node").alias("pivot"))
-    placed = skew_join(members.select("group", "node", "part"), sizes, ["group"], "many", total)
-    placed = materialise(placed.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).drop("many"))
-    zero = F.lit(0).alias("y")
-    home = placed.select("group", F.col("block").alias("x"), zero, "node", "part")
-    pivots = placed.where("blocks > 1 and node = pivot").select("group", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("x"), zero, "node", "part")
-    links = materialise(_solved(home.union(pivots).join(payload, "node"), solve))
-    large = placed.where("blocks > 1")
-    if large.isEmpty():
-        return links
-
-    # What the pivots, and other groups, have joined by now.
-    known = members.where("part <> node").select(F.col("part").alias("u"), F.col("node").alias("v"))
-    joined = materialise(components(links.union(known)))
-    large = large.select("group", "node", "blocks", "block").join(joined, "node", "left").select("group", "node", "blocks", "block", F.coalesce("root", "node").alias("part"))
-    large = materialise(large)
-    parts = large.groupBy("group", "part").agg(F.count("*").alias("c"))
-    main = parts.groupBy("group").agg(F.max_by("part", F.struct("c", "part")).alias("main"), F.sum("c").alias("many"), F.max("c").alias("most"))
-    main = main.withColumn("calls", F.ceil((F.col("many") - F.col("most")) / most).cast("int")).where("calls > 0").select("group", "main", "calls", "many")
-    apart = materialise(skew_join(large, main, ["group"], "many", total).drop("many"))
-    call = F.pmod(F.xxhash64("node", F.lit(1)), F.col("calls")).cast("int")
-    hosts = apart.select("group", F.col("block").alias("x"), F.explode(F.sequence(F.lit(0), F.col("calls") - 1)).alias("y"), "node", "part")
-    visitors = apart.where("part <> main").select("group", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("x"), call.alias("y"), "node", "part")
-    return materialise(links.union(_solved(hosts.union(visitors).join(payload, "node"), solve)))
+    with scope() as keep:
+        count, total = F.count("*"), members.count()
+        blocks = F.ceil(count / most) if weight is None else F.greatest(F.ceil(count / most), F.ceil(F.sum("n") / weight))
+        sizes = members.groupBy("group").agg(count.alias("many"), blocks.cast("int").alias("blocks"), F.min("node").alias("pivot"))
+        placed = skew_join(members.select("group", "node", "part"), sizes, ["group"], "many", total)
+        placed = materialise(placed.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).drop("many"))
+        zero = F.lit(0).alias("y")
+        home = placed.select("group", F.col("block").alias("x"), zero, "node", "part")
+        pivots = placed.where("blocks > 1 and node = pivot").select("group", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("x"), zero, "node", "part")
+        links = materialise(_solved(home.union(pivots).join(payload, "node"), solve))
+        large = placed.where("blocks > 1")
+        if large.isEmpty():
+            return keep(links)
+
+        # What the pivots, and other groups, have joined by now.
+        known = members.where("part <> node").select(F.col("part").alias("u"), F.col("node").alias("v"))
+        joined = materialise(components(links.union(known)))
+        large = large.select("group", "node", "blocks", "block").join(joined, "node", "left").select("group", "node", "blocks", "block", F.coalesce("root", "node").alias("part"))
+        large = materialise(large)
+        parts = large.groupBy("group", "part").agg(F.count("*").alias("c"))
+        main = parts.groupBy("group").agg(F.max_by("part", F.struct("c", "part")).alias("main"), F.sum("c").alias("many"), F.max("c").alias("most"))
+        main = main.withColumn("calls", F.ceil((F.col("many") - F.col("most")) / most).cast("int")).where("calls > 0").select("group", "main", "calls", "many")
+        apart = materialise(skew_join(large, main, ["group"], "many", total).drop("many"))
+        call = F.pmod(F.xxhash64("node", F.lit(1)), F.col("calls")).cast("int")
+        hosts = apart.select("group", F.col("block").alias("x"), F.explode(F.sequence(F.lit(0), F.col("calls") - 1)).alias("y"), "node", "part")
+        visitors = apart.where("part <> main").select("group", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("x"), call.alias("y"), "node", "part")
+        return keep(materialise(links.union(_solved(hosts.union(visitors).join(payload, "node"), solve))))
 
 
 def _neighbours(nodes: DataFrame, least: int, num: int, den: int) -> DataFrame:
     """Clusters of nodes whose signatures are alike: ``node`` and ``root`` of all nodes that have a neighbour, but the roots."""
-    rows = materialise(nodes.select("node", "n", F.explode("bands").alias("band")))
-    total = rows.count()
-    lead = rows.groupBy("band").agg(F.min("node").alias("lead"), F.count("*").alias("many")).where("many > 1")
-    shared = materialise(skew_join(rows, lead, ["band"], "many", total).select("band", "node", "n", "lead", "many"))
-    often = shared.where("node <> lead").groupBy("node", "lead").agg(F.count("*").alias("c")).where(F.col("c") >= SHARED)
-    first = components(often.select(F.col("node").alias("u"), F.col("lead").alias("v")))
-    known = shared.join(first.withColumnRenamed("root", "part"), "node", "left").select("band", "node", "n", "many", F.coalesce("part", "node").alias("part"))
-    # Bands whose nodes are not all in one cluster yet.
-    open_ = known.groupBy("band").agg(F.min("part").alias("a"), F.max("part").alias("b"), F.max("many").alias("many")).where("a < b").select("band", "many")
-    members = skew_join(known.drop("many"), open_, ["band"], "many", total).select(F.col("band").alias("group"), "node", "part", "n")
-
     def solve(table: pa.Table) -> Linked:
-        sketch = np.stack([np.frombuffer(s, dtype=np.uint8) for s in table.column("sketch").to_pylist()])
-        return alike(table.column("n").to_numpy(), sketch, least, num, den)
-
-    more = links_within(materialise(members), nodes.select("node", "n", "sketch"), solve, BLOCK_NODES)
-    return components(more.union(first.select(F.col("node").alias("u"), F.col("root").alias("v"))))
+        return alike(table.column("n").to_numpy(), places_of(table.column("sketch").to_pylist()), least, num, den)
+
+    with scope() as keep:
+        rows = materialise(nodes.select("node", F.explode("bands").alias("band")))
+        total = rows.count()
+        lead = rows.groupBy("band").agg(F.min("node").alias("lead"), F.count("*").alias("many")).where("many > 1")
+        shared = materialise(skew_join(rows, lead, ["band"], "many", total).select("band", "node", "lead", "many"))
+        discard(rows)
+        often = shared.where("node <> lead").groupBy("node", "lead").agg(F.count("*").alias("c")).where(F.col("c") >= SHARED)
+        first = components(often.select(F.col("node").alias("u"), F.col("lead").alias("v")))
+        known = shared.join(first.withColumnRenamed("root", "part"), "node", "left").select("band", "node", "many", F.coalesce("part", "node").alias("part"))
+        # Bands whose nodes are not all in one cluster yet.
+        open_ = known.groupBy("band").agg(F.min("part").alias("a"), F.max("part").alias("b"), F.max("many").alias("many")).where("a < b").select("band", "many")
+        members = materialise(skew_join(known.drop("many"), open_, ["band"], "many", total).select(F.col("band").alias("group"), "node", "part"))
+        discard(shared)
+        more = links_within(members, nodes.select("node", "n", "sketch"), solve, BLOCK_NODES)
+        return keep(materialise(components(more.union(first.select(F.col("node").alias("u"), F.col("root").alias("v"))))))
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -357,31 +373,35 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, num: int = 80, den: int =
     on the words themselves.
     """
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    if docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty():
-        out = _groups(docs, None, shingle, num, den)
-    else:
-        # Every row gets an id of its own, and what shared one before is linked.
-        rows = materialise(docs.select(F.when(F.col("doc_id").isNotNull(), F.monotonically_increasing_id()).alias("row"), "doc_id", "text"))
-        ids = rows.where("row is not null").select("row", F.col("doc_id").alias("id"))
-        found = materialise(_groups(rows.select(F.col("row").alias("doc_id"), "text"), ids, shingle, num, den))
-        named = found.join(ids, found.doc_id == ids.row).select("id", "n", "component")
-        least = named.groupBy("component").agg(F.min("id").alias("least"))
-        out = named.where("n > 0").join(least, "component").select(F.col("id").alias("doc_id"), "n", F.col("least").alias("component"))
-        out = out.union(named.where("n = 0").select("id", "n", "id")).union(found.where("doc_id is null"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), F.col("component").eqNullSafe(F.col("doc_id")).alias("kept"))
+    with scope() as keep:
+        if docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty():
+            out = _groups(docs, None, shingle, num, den)
+        else:
+            # Every row gets an id of its own, and what shared one before is linked.
+            rows = materialise(docs.select(F.when(F.col("doc_id").isNotNull(), F.monotonically_increasing_id()).alias("row"), "doc_id", "text"))
+            ids = rows.where("row is not null").select("row", F.col("doc_id").alias("id"))
+            found = materialise(_groups(rows.select(F.col("row").alias("doc_id"), "text"), ids, shingle, num, den))
+            named = found.join(ids, found.doc_id == ids.row).select("id", "n", "component")
+            least = named.groupBy("component").agg(F.min("id").alias("least"))
+            out = named.where("n > 0").join(least, "component").select(F.col("id").alias("doc_id"), "n", F.col("least").alias("component"))
+            out = out.union(named.where("n = 0").select("id", "n", "id")).union(found.where("doc_id is null"))
+        return keep(materialise(out.select("doc_id", F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), F.col("component").eqNullSafe(F.col("doc_id")).alias("kept"))))
 
 
 def _groups(docs: DataFrame, same: DataFrame | None, shingle: int, num: int, den: int) -> DataFrame:
     """``doc_id``, ``n`` and ``component`` of each row; no id stands twice.  Rows with one ``id`` in ``same`` (``row``, ``id``) are linked."""
     count = band_count(num / den)
-    sig = materialise(signatures(docs, shingle, count))
+    whole = materialise(signatures(docs, shingle, count))
+    sig = materialise(whole.select("doc_id", "n", "h1", "h2"))
     named = sig.where("n > 0 and doc_id is not null")
     sets = materialise(named.groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("node"), F.count("*").alias("many")))
-    nodes = materialise(named.select(F.col("doc_id").alias("node"), "n", "bands", "sketch").join(sets.select("node"), "node", "left_semi"))
+    nodes = materialise(whole.select(F.col("doc_id").alias("node"), "n", "bands", "sketch").join(sets.select("node"), "node", "left_semi"))
+    discard(whole)
 
-    hung = materialise(_neighbours(nodes, least_matches(num / den, count * ROWS), num, den))
+    hung = _neighbours(nodes, least_matches(num / den, count * ROWS), num, den)
     clusters = hung.select("node", F.col("root").alias("group")).union(hung.select(F.col("root").alias("node"), F.col("root").alias("group")).distinct())
     members = materialise(clusters.join(nodes.select("node", "n"), "node").select("group", "node", F.col("node").alias("part"), "n"))
+    discard(nodes)
     texts = docs.join(members.select(F.col("node").alias("doc_id")), "doc_id", "left_semi").select(F.col("doc_id").alias("node"), "text")
 
     def solve(table: pa.Table) -> Linked:
@@ -396,8 +416,7 @@ def _groups(docs: DataFrame, same: DataFrame | None, shingle: int, num: int, den
 
     # Only sets of several rows, or with a link, have another component than their own id.
     label = sets.join(linked, "node", "left").where("root is not null or many > 1").select("h1", "h2", "n", "many", F.coalesce("root", "node").alias("component"))
-    rows = named.select("doc_id", "n", "h1", "h2")
-    out = skew_join(rows, label, ["h1", "h2", "n"], "many", rows.count(), "left").select("doc_id", "n", F.coalesce("component", "doc_id").alias("component"))
+    out = skew_join(named, label, ["h1", "h2", "n"], "many", named.count(), "left").select("doc_id", "n", F.coalesce("component", "doc_id").alias("component"))
     return out.union(sig.where("n = 0 or doc_id is null").select("doc_id", "n", "doc_id"))
 
 
@@ -407,5 +426,6 @@ def drop_near_duplicates(docs: DataFrame, shingle: int = 5, num: int = 80, den:
     Null, empty and wordless texts have no near-duplicates and stay; of rows that share an id all stay or go together.
     """
     gone = unused(docs, "gone")
-    out = near_duplicates(docs, shingle, num, den).where("not kept").select(F.col("doc_id").alias(gone)).distinct()
+    with scope() as keep:
+        out = keep(materialise(near_duplicates(docs, shingle, num, den).where("not kept").select(F.col("doc_id").alias(gone)).distinct()))
     return docs.join(out, F.col("doc_id").cast("long") == F.col(gone), "left_anti")

@@ -13,7 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from weftline.llm.common import materialise, unused
+from weftline.llm.common import materialise, scope, unused
 
 
 @dataclass(frozen=True)
@@ -156,10 +156,11 @@ def redact_documents(docs: DataFrame, rules: tuple[Rule, ...] = REDACTED) -> Dat
 
     Null and empty texts stay, as do null ids and repeated rows; a table may be empty.
     """
-    paths, _, _ = scan(docs.select("doc_id", "text"), rules)
     blob, spans = unused(docs, "blob"), unused(docs, "spans")
-    # A written table's size is known, so that Spark sends it to the documents if it is small.
-    found = materialise(paths.where(F.size("spans") > 0).select(F.col("blob").alias(blob), F.col("spans").alias(spans)).distinct())
+    with scope() as keep:
+        paths, _, _ = scan(docs.select("doc_id", "text"), rules)
+        # A written table's size is known, so that Spark sends it to the documents if it is small.
+        found = keep(materialise(paths.where(F.size("spans") > 0).select(F.col("blob").alias(blob), F.col("spans").alias(spans)).distinct()))
     out = docs.join(found, blob_of(F.col("text")) == F.col(blob), "left")
     text = redact(F.col("text"), F.coalesce(spans, F.array().cast(f"array<{SPAN}>")))
     return out.select(*[text.alias(c) if c == "text" else F.col(c) for c in docs.columns])
