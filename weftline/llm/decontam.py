@@ -154,6 +154,5 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = 10, shingle:
     key = F.sha2("text", 256)
     with scope() as keep:
         found = find_windows(some.select(key.alias("doc_id"), "text"), items, window, shingle).where("contaminated")
-        # A written table's size is known, so that Spark sends it to the documents if it is small.
         spoilt = keep(materialise(found.select(F.col("doc_id").alias(mark)).distinct()))
-    return some.join(spoilt, key == F.col(mark), "left_anti").unionByName(docs.where("text is null or text = ''"))
+    return some.join(_sent(spoilt), key == F.col(mark), "left_anti").unionByName(docs.where("text is null or text = ''"))
