@@ -28,7 +28,7 @@ from pyspark.sql import types as T
 from weftline.llm.common import mix, slices
 
 #: Matches kept with their ids by each worker; beyond this the memory starts anew, so that it is bounded.
-CACHE = 200_000
+CACHE = 100_000
 #: Cells of one padded matrix.
 CELLS = 1 << 16
 #: Matches of more bytes are cut; parts of more bytes are no rows of a matrix.

@@ -30,7 +30,7 @@ SWITCHED, SHORT, LONG = 0.25, 3, 40
 BITS, GRAMS, AFFIX = 15, (2, 3, 4), 4
 EPOCHS, RATE, DECAY = 4, 0.3, 1e-6
 #: Words kept with their features' sums by each worker; beyond this the memory starts anew.
-CACHE = 200_000
+CACHE = 100_000
 #: New words whose features are made at a time.
 NEW = 8192
 #: With more languages than these, fewer words are kept and made at a time.
