@@ -643,6 +643,25 @@ def test_components(spark):
     assert out == {x: found.find(x) for x in ends if found.find(x) != x}
 
 
+@pytest.mark.parametrize(("most", "jobs"), [(1 << 18, 8), (16, 1000)])
+def test_components_in_one_task_or_in_rounds(spark, monkeypatch, most, jobs):
+    monkeypatch.setattr(graph, "TASK_LINKS", most, raising=False)
+    rng = random.Random(5)
+    links = [(k, k + 1) for k in range(100)] + [(500, k) for k in range(501, 560)] + [(rng.randrange(200, 400), rng.randrange(200, 400)) for _ in range(150)]
+    links += links[:40] + [(b, a) for a, b in links[90:130]] + [(7, 7), (None, 8)]
+    rng.shuffle(links)
+    found = graph.UnionFind(600)
+    for a, b in links:
+        if a is not None:
+            found.join(a, b)
+    edges = spark.createDataFrame(links, "u long, v long").repartition(7)
+    spark.sparkContext.setJobGroup("links", "")
+    out = graph.components(edges)
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert Counter((r.node, r.root) for r in out.collect()) == Counter((x, found.find(x)) for x in range(600) if found.find(x) != x)
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("links")) <= jobs
+
+
 def test_drop_near_duplicates(spark):
     text = " ".join(f"w{k}" for k in range(100))
     rows = [(2, text), (1, text + " x"), (3, "other words that stand here alone"), (None, text), (4, None)]

@@ -102,7 +102,8 @@ def skew_join(rows: DataFrame, keyed: DataFrame, on: list[str], many: str, total
     """
     if total <= HOT_ROWS:
         return rows.join(keyed, on, how)
-    keyed = materialise(keyed)
+    if getattr(keyed, "_materialised_at", None) is None:
+        keyed = materialise(keyed)
     hot = F.col(many) > max(HOT_ROWS, total // HOT_KEYS)
     few = keyed.where(hot)
     if few.isEmpty():
