@@ -353,6 +353,42 @@ def test_collisions_are_found(monkeypatch):
     assert suffix.Suffixes(np.zeros(3, dtype=np.int64), right, np.full(3, 2)).order.tolist() == [2, 1, 0]
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 2), st.binary(max_size=4), st.binary(min_size=2, max_size=6)), max_size=30), st.integers(0, 2), st.integers(2, 4), st.booleans())
+def test_suffix_repeats(rows, low, high, collide):
+    """Offsets against all strings, also where hashes say that everything is equal."""
+    rows = [(g, bytes(x % 2 for x in l), bytes(x % 2 for x in r)) for g, l, r in rows]
+    fill = lambda parts, width: np.array([list(x.ljust(width, b"\0")) for x in parts], dtype=np.uint8).reshape(len(parts), width)
+    size = lambda parts: np.array([len(x) for x in parts], dtype=np.int64)
+    groups, lefts, rights = ([r[k] for r in rows] for k in range(3))
+    want, seen = [[-1, -1] for _ in rows], set()
+    rank = np.arange(len(rows))[::-1]  # the last stands first
+    for k in reversed(range(len(rows))):
+        g, l, r = rows[k]
+        for t in range(low, high + 1):
+            if len(l) >= t and len(r) >= 6 - t:
+                string = (g, t, l[:t], r[: 6 - t])
+                if string in seen:
+                    want[k] = [want[k][0] if want[k][0] >= 0 else t, t]
+                seen.add(string)
+    good = suffix.Suffixes._hashes
+    with pytest.MonkeyPatch.context() as m:
+        if collide:
+            m.setattr(suffix.Suffixes, "_hashes", staticmethod(lambda rows, seed: good(rows, seed) * np.uint64(seed > 2)))
+        got = suffix.repeats(np.array(groups, dtype=np.int64), rank, fill(lefts, 4), size(lefts), fill(rights, 6), size(rights), low, high)
+    assert np.stack(got, axis=1).tolist() == want
+
+
+def test_suffix_sort_compares_within_groups(monkeypatch):
+    """What is compared follows the sizes of the groups, not how many of them are sorted together."""
+    compared, common = [], suffix.Suffixes.common
+    monkeypatch.setattr(suffix.Suffixes, "common", lambda self, a, b: compared.append(len(a)) or common(self, a, b))
+    right = np.random.default_rng(5).integers(0, 4, (8192, 20)).astype(np.uint8)
+    s = suffix.Suffixes(np.arange(8192) // 2, right, np.full(8192, 20))
+    assert [right[k].tobytes() for k in s.order] == [x for k in range(0, 8192, 2) for x in sorted([right[k].tobytes(), right[k + 1].tobytes()])]
+    assert sum(compared) <= 2 * 8192
+
+
 # 6
 
 

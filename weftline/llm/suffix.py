@@ -23,6 +23,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -118,18 +119,29 @@ def anchors(data: np.ndarray, ends: np.ndarray, length: int, gram: int) -> tuple
     return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
-def _batches(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[bytes], np.ndarray, np.ndarray]]:
+def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of all texts or binaries, one after another, and where each ends; null is empty."""
+    if column.null_count:
+        column = pc.fill_null(column, "" if pa.types.is_string(column.type) or pa.types.is_large_string(column.type) else b"")
+    column = column.cast(pa.large_binary())
+    _, offsets, data = column.buffers()
+    if not len(column) or data is None:
+        return np.zeros(0, dtype=np.uint8), np.zeros(len(column), dtype=np.int64)
+    edge = np.frombuffer(offsets, dtype=np.int64)[column.offset : column.offset + len(column) + 1]
+    return np.frombuffer(data, dtype=np.uint8)[edge[0] : edge[-1]], edge[1:] - edge[0]
+
+
+def _batches(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     for whole in batches:
         for batch in slices(whole, 4096, limit=2 << 20):
-            raw = [(t or "").encode() for t in batch.column("text").to_pylist()]
-            yield batch, raw, np.frombuffer(b"".join(raw), dtype=np.uint8), np.cumsum([len(x) for x in raw])
+            yield batch, *_flat(batch.column("text"))
 
 
 def _repeated(docs: DataFrame, length: int, gram: int) -> DataFrame:
     """Hashes of anchors that occur more than once."""
 
     def run(batches):
-        for _, _, data, ends in _batches(batches):
+        for _, data, ends in _batches(batches):
             h, n = np.unique(anchors(data, ends, length, gram)[1], return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n)], names=["h", "n"])
 
@@ -167,7 +179,7 @@ def _places(docs: DataFrame, length: int, gram: int, most_bits: int) -> DataFram
 
     def run(batches):
         table = known.value
-        for batch, _, data, ends in _batches(batches):
+        for batch, data, ends in _batches(batches):
             at, h, c = anchors(data, ends, length, gram)
             low = h >> np.uint64(6) & np.uint64((1 << (bits - 6)) - 1)
             seen = table[(h & np.uint64(63)).astype(np.int64), (low >> np.uint64(3)).astype(np.int64)] >> (low & np.uint64(7)).astype(np.uint8) & 1
@@ -205,42 +217,48 @@ class Suffixes:
     def common(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Lengths of common extensions, by binary search."""
         low, high = np.zeros(len(a), dtype=np.int64), np.minimum(self.size[a], self.size[b])
+        flat, a, b = self.hash.ravel(), a * self.hash.shape[1], b * self.hash.shape[1]
         for _ in range(int(self.right.shape[1]).bit_length()):
             middle = (low + high + 1) >> 1
-            same = self.hash[a, middle] == self.hash[b, middle]
+            same = flat[a + middle] == flat[b + middle]
             low, high = np.where(same, middle, low), np.where(same, high, middle - 1)
         return low
 
     def less(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """Whether a stands before b; equal suffixes stand by their number."""
+        """Whether a stands before b, of the same group; equal suffixes stand by their number."""
         n = self.common(a, b)
         at = np.minimum(n, self.right.shape[1] - 1)
         x = np.where(n < self.size[a], self.right[a, at].astype(np.int16), np.int16(-1))
         y = np.where(n < self.size[b], self.right[b, at].astype(np.int16), np.int16(-1))
-        inside = (x < y) | ((x == y) & (a < b))
-        return np.where(self.group[a] == self.group[b], inside, self.group[a] < self.group[b])
+        return (x < y) | ((x == y) & (a < b))
 
     def _sort(self) -> np.ndarray:
-        order, n, run = np.arange(len(self.group)), len(self.group), 1
-        while run < n:
-            at = np.arange(n)
-            mine = at // run * run
-            other = np.where(at // run % 2 == 0, mine + run, mine - run)
-            low, high = np.minimum(other, n), np.minimum(other + run, n)
+        """Groups stay apart: the runs of each are merged, until it is one run."""
+        order = np.argsort(self.group, kind="stable")
+        edge = np.flatnonzero(np.diff(self.group[order])) + 1
+        edge = np.concatenate([[0], edge, [len(order)]])
+        start, end = np.repeat(edge[:-1], np.diff(edge)), np.repeat(edge[1:], np.diff(edge))
+        at, run = np.arange(len(order)), 1
+        while True:
+            at = at[end[at] - start[at] > run]
+            if not len(at):
+                return order
+            nth = (at - start[at]) // run
+            mine = start[at] + nth * run
+            other = np.where(nth % 2 == 0, mine + run, mine - run)
+            low, high = np.minimum(other, end[at]), np.minimum(other + run, end[at])
             begin = low.copy()
             while True:
                 open_ = np.flatnonzero(low < high)
                 if not len(open_):
                     break
                 middle = (low[open_] + high[open_]) >> 1
-                before = self.less(order[middle], order[open_])
+                before = self.less(order[middle], order[at[open_]])
                 low[open_[before]] = middle[before] + 1
                 high[open_[~before]] = middle[~before]
-            to = at - mine + np.minimum(mine, other) + low - begin
-            merged = np.empty_like(order)
-            merged[to] = order
+            merged = order.copy()
+            merged[at - mine + np.minimum(mine, other) + low - begin] = order[at]
             order, run = merged, run * 2
-        return order
 
     def _neighbours(self) -> np.ndarray:
         """Common extension of each suffix with the one before it in order; -1 for the first of a group."""
@@ -269,22 +287,39 @@ def repeats(
     s = Suffixes(group, right, right_size)
     order = s.order
     lowest, highest = np.full(n, -1), np.full(n, -1)
-    l, ls, rs, rk = left[order], left_size[order], right_size[order], rank[order]
+    l, ls, rk = left[order], left_size[order], rank[order]
     first, last = np.broadcast_to(low, n)[order], np.broadcast_to(high, n)[order]
+    near = np.maximum(s.lcp, np.append(s.lcp[1:], -1))
+    # Eight bytes to the left at a time, a row for each eight.
+    words = np.zeros((n, -(-left.shape[1] // 8) * 8), dtype=np.uint8)
+    words[:, : left.shape[1]] = l
+    words = np.ascontiguousarray(words.view("<u8").T)
     for seed in range(1, 1000):
         lh, clean = Suffixes._hashes(l, seed), True
         lowest[:], highest[:] = -1, -1
         for t in range(left.shape[1] + 1):
-            part = np.cumsum(s.lcp < length - t)
-            can = np.flatnonzero((ls >= t) & (rs >= length - t) & (first <= t) & (t <= last))
+            can = np.flatnonzero((near >= length - t) & (ls >= t) & (first <= t) & (t <= last))
             if len(can) < 2:
                 continue
-            by = can[np.lexsort((rk[can], lh[can, t], part[can]))]
-            same = (part[by[1:]] == part[by[:-1]]) & (lh[by[1:], t] == lh[by[:-1], t])
-            if t and not (l[by[1:][same], :t] == l[by[:-1][same], :t]).all():
+            part = np.cumsum(s.lcp < length - t)
+            key = lh[can, t] + part[can].astype(np.uint64) * _BASE
+            to = np.argsort(key)
+            by, key = can[to], key[to]
+            same = np.concatenate([[False], key[1:] == key[:-1], [False]])
+            several = same[1:] | same[:-1]
+            by, same = by[several], same[:-1][several]
+            if not len(by):
+                continue
+            x, y = by[same], by[np.flatnonzero(same) - 1]
+            wrong = (part[x] != part[y]).astype(np.uint64)
+            for k in range(0, t, 8):
+                wrong |= (words[k >> 3][x] ^ words[k >> 3][y]) & np.uint64((1 << 8 * min(8, t - k)) - 1)
+            if wrong.any():
                 clean = False
                 break
-            again = order[by[1:][same]]
+            # All but the first place of each string.
+            least = np.minimum.reduceat(rk[by], np.flatnonzero(~same))
+            again = order[by[rk[by] != least[np.cumsum(~same) - 1]]]
             highest[again] = t
             fresh = again[lowest[again] < 0]
             lowest[fresh] = t
@@ -297,20 +332,25 @@ def _contexts(rows: DataFrame, length: int, gram: int) -> DataFrame:
     """The contexts of listed places (``at``: array of pos, h and contexts) of each text: their bytes to the left, the nearest first, and to the right."""
     reach = length - gram
 
+    def binary(rows: np.ndarray, sizes: np.ndarray) -> pa.Array:
+        data = rows[np.arange(rows.shape[1]) < sizes[:, None]]
+        return pa.Array.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.py_buffer(data)])
+
     def cut(batches):
-        for batch in batches:
-            for doc, tie, text, at in zip(*[batch.column(k).to_pylist() for k in ("doc", "tie", "text", "at")], strict=True):
-                raw = (text or "").encode()
-                padded = np.frombuffer(bytes(reach) + raw + bytes(length), dtype=np.uint8)
-                for low in range(0, len(at), 4096):
-                    some = at[low : low + 4096]
-                    n, pos = len(some), np.array([x["pos"] for x in some])
-                    right, right_size = padded[pos[:, None] + reach + np.arange(length)], np.minimum(len(raw) - pos, length)
-                    left, left_size = padded[pos[:, None] + reach - 1 - np.arange(reach)], np.minimum(pos, reach)
-                    cols = [pa.array([x[k] for x in some], pa.int64()) for k in ("h", "contexts")]
-                    cols += [pa.array(np.full(n, doc)), pa.array(np.full(n, tie)), pa.array(pos)]
-                    cols += [pa.array([x[:k].tobytes() for x, k in zip(m, sizes, strict=True)], pa.binary()) for m, sizes in ((left, left_size), (right, right_size))]
-                    yield pa.RecordBatch.from_arrays(cols, names=["h", "contexts", "doc", "tie", "pos", "l", "r"])
+        for batch, data, ends in _batches(batches):
+            padded = np.concatenate([np.zeros(reach, dtype=np.uint8), data, np.zeros(length, dtype=np.uint8)])
+            before, behind = np.lib.stride_tricks.sliding_window_view(padded, reach), np.lib.stride_tricks.sliding_window_view(padded, length)
+            doc, tie = (batch.column(k).to_numpy(zero_copy_only=False) for k in ("doc", "tie"))
+            of = np.repeat(np.arange(batch.num_rows), batch.column("at").value_lengths().to_numpy(zero_copy_only=False))
+            places = batch.column("at").flatten()
+            for low in range(0, len(of), 8192):
+                d, some = of[low : low + 8192], pa.RecordBatch.from_struct_array(places.slice(low, 8192))
+                pos = some.column("pos").to_numpy(zero_copy_only=False)
+                at = np.concatenate([[0], ends])[d] + pos
+                l = binary(before[at][:, ::-1], np.minimum(pos, reach))
+                r = binary(behind[at + reach], np.minimum(ends[d] - at, length))
+                cols = [some.column("h"), some.column("contexts"), pa.array(doc[d]), pa.array(tie[d]), pa.array(pos), l, r]
+                yield pa.RecordBatch.from_arrays(cols, names=["h", "contexts", "doc", "tie", "pos", "l", "r"])
 
     return rows.mapInArrow(cut, "h long, contexts long, doc long, tie long, pos long, l binary, r binary")
 
@@ -349,40 +389,37 @@ def _sorted_repeats(rows: DataFrame, length: int, gram: int) -> DataFrame:
     """What earlier places repeat at the offsets ``a`` to ``b``, within each ``key``: ``doc``, ``tie``, ``lo``, ``hi``."""
     reach = length - gram
 
-    def matrix(parts: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray]:
-        sizes = np.array([len(x) for x in parts])
-        out = np.zeros((len(parts), width), dtype=np.uint8)
-        out[np.arange(width) < sizes[:, None]] = np.frombuffer(b"".join(parts), dtype=np.uint8)
+    def matrix(parts: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
+        data, ends = _flat(parts)
+        sizes = np.diff(ends, prepend=0)
+        out = np.zeros((len(sizes), width), dtype=np.uint8)
+        out[np.arange(width) < sizes[:, None]] = data
         return out, sizes
 
-    def solve(key, doc, tie, pos, a, b, l, r) -> pa.RecordBatch:
-        key, doc, tie, pos, a, b = (np.concatenate(x) for x in (key, doc, tie, pos, a, b))
+    def solve(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        rows = {k: pa.concat_arrays([x.column(k) for x in held]) for k in ("key", "doc", "tie", "pos", "a", "b", "l", "r")}
+        key, doc, tie, pos, a, b = (rows[k].to_numpy(zero_copy_only=False) for k in ("key", "doc", "tie", "pos", "a", "b"))
         rank = np.empty(len(key), dtype=np.int64)
         rank[np.lexsort((pos, tie, doc))] = np.arange(len(key))
-        low, high = repeats(key, rank, *matrix(l, reach), *matrix(r, length), a, b)
+        low, high = repeats(key, rank, *matrix(rows["l"], reach), *matrix(rows["r"], length), a, b)
         hit = np.flatnonzero(low >= 0)
         return pa.RecordBatch.from_arrays([pa.array(x) for x in (doc[hit], tie[hit], pos[hit] - high[hit], pos[hit] - low[hit] + length)], names=["doc", "tie", "lo", "hi"])
 
     def run(batches):
-        held: list[list] = [[] for _ in range(8)]
+        held: list[pa.RecordBatch] = []
         count, last = 0, None
         for batch in batches:
-            cols = [batch.column(k).to_numpy(zero_copy_only=False) for k in ("key", "doc", "tie", "pos", "a", "b")]
-            l, r = batch.column("l").to_pylist(), batch.column("r").to_pylist()
-            edge = [0, *(np.flatnonzero(np.diff(cols[0])) + 1).tolist(), batch.num_rows]
-            for s, e in zip(edge[:-1], edge[1:], strict=True):
-                if s == e:
-                    continue
-                if count >= SORTED and cols[0][s] != last:
-                    yield solve(*held)
-                    held, count = [[] for _ in range(8)], 0
-                for k in range(6):
-                    held[k].append(cols[k][s:e])
-                held[6] += l[s:e]
-                held[7] += r[s:e]
-                count, last = count + e - s, cols[0][s]
+            if not batch.num_rows:
+                continue
+            key, done = batch.column("key").to_numpy(zero_copy_only=False), 0
+            edge = np.flatnonzero(np.concatenate([[key[0] != last], key[1:] != key[:-1]]))
+            while (k := np.searchsorted(edge, done + max(0, SORTED - count))) < len(edge):
+                yield solve([*held, batch.slice(done, edge[k] - done)])
+                held, count, done = [], 0, int(edge[k])
+            held.append(batch.slice(done))
+            count, last = count + batch.num_rows - done, key[-1]
         if count:
-            yield solve(*held)
+            yield solve(held)
 
     return rows.repartition("key").sortWithinPartitions("key").mapInArrow(run, "doc long, tie long, lo long, hi long")
 
@@ -433,21 +470,32 @@ def remove_repeats(docs: DataFrame, length: int = 100, gram: int = GRAM, hot: in
     def run(batches):
         for whole_batch in batches:
             for batch in slices(whole_batch, 512):
-                out = []
-                for text, gone in zip(batch.column("text").to_pylist(), batch.column("gone").to_pylist(), strict=True):
-                    raw = (text or "").encode()
-                    runs: list[list[int]] = []
-                    for lo, hi in sorted((x["lo"], min(x["hi"], len(raw))) for x in gone or ()):
-                        if runs and lo <= runs[-1][1]:
-                            runs[-1][1] = max(runs[-1][1], hi)
-                        else:
-                            runs.append([lo, hi])
-                    edge = [0, *(x for r in runs for x in r), len(raw)]
-                    kept = b"".join(raw[a:b] for a, b in zip(edge[::2], edge[1::2], strict=True))
-                    out.append((len(raw), len(raw) - len(kept), len(runs), hashlib.sha256(kept).hexdigest() if digest else kept, runs))
-                cols = [batch.column("doc_id"), *(pa.array([x[i] for x in out], pa.int64()) for i in range(3)), pa.array([x[3] for x in out], pa.string() if digest else pa.binary())]
-                if not digest:
-                    cols.append(pa.array([x[4] for x in out], pa.list_(pa.list_(pa.int64()))))
+                data, ends = _flat(batch.column("text"))
+                starts = np.concatenate([[0], ends[:-1]])
+                of = np.repeat(np.arange(batch.num_rows), pc.fill_null(batch.column("gone").value_lengths(), 0).to_numpy(zero_copy_only=False))
+                gone = pa.RecordBatch.from_struct_array(batch.column("gone").flatten())
+                lo, hi = (gone.column(k).to_numpy(zero_copy_only=False) for k in ("lo", "hi"))
+                # Texts stand one byte apart here, so that no run goes on in the next.
+                base = starts + np.arange(batch.num_rows)
+                lo, hi = lo + base[of], np.minimum(hi, (ends - starts)[of]) + base[of]
+                to = np.argsort(lo)
+                lo, hi = lo[to], np.maximum.accumulate(hi[to])
+                new = np.flatnonzero(np.concatenate([[True], lo[1:] > hi[:-1]])[: len(lo)])
+                lo, hi, of = lo[new], hi[np.append(new[1:], len(lo))[: len(new)] - 1], of[to][new]
+                step = np.zeros(len(data) + 1, dtype=np.int8)
+                step[lo - of] += 1
+                step[hi - of] -= 1
+                stay = np.cumsum(step[:-1], dtype=np.int8) == 0
+                kept, n_spans, removed = data[stay], np.bincount(of, minlength=batch.num_rows), np.zeros(batch.num_rows, dtype=np.int64)
+                np.add.at(removed, of, hi - lo)
+                edge = np.concatenate([[0], np.cumsum(ends - starts - removed)])
+                texts = [kept[a:b] for a, b in zip(edge[:-1], edge[1:], strict=True)]
+                cols = [batch.column("doc_id"), pa.array(ends - starts), pa.array(removed), pa.array(n_spans)]
+                if digest:
+                    cols.append(pa.array([hashlib.sha256(x).hexdigest() for x in texts], pa.string()))
+                else:
+                    pairs = pa.ListArray.from_arrays(pa.array(np.arange(len(of) + 1, dtype=np.int32) * 2), pa.array(np.stack([lo - base[of], hi - base[of]], axis=1).ravel()))
+                    cols += [pa.array([x.tobytes() for x in texts], pa.binary()), pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n_spans)]).astype(np.int32)), pairs)]
                 yield pa.RecordBatch.from_arrays(cols, names=names)
 
     names = ["doc_id", "n_bytes", "n_removed", "n_spans", *(["kept_sha256"] if digest else ["kept", "spans"])]
