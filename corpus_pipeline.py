@@ -14,12 +14,24 @@ from pyspark.sql import functions as F
 from weftline.llm import bpe, decontam, langid, minhash, secrets
 from weftline.llm.common import read_table, shared_dir
 
+#: Bytes of rows that go to a Python worker at a time, about; a longer row goes alone.  Operators cut what they get to such sizes anyway,
+#: while Spark's own bound of 64 MB has an executor hold each batch in both the JVM and the worker, beside a heap that is full by then.
+BATCH_BYTES = 2 << 20
+
+
+def _bound_batches(docs: DataFrame) -> None:
+    """Have Spark cut batches at ``BATCH_BYTES``.  It reads this setting when a table is evaluated, so it stays in the session."""
+    spark = docs.sparkSession
+    if not 0 < spark._jsparkSession.sessionState().conf().arrowMaxBytesPerBatch() <= BATCH_BYTES:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Write the likeliest language into ``lang``; only null texts and texts without letters go, and mixtures stay.
 
     Where no language could be learned, all rows stay as they are.
     """
+    _bound_batches(docs)
     model = langid.train(docs)
     if not model.langs:
         return docs
@@ -30,6 +42,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep one document of each group of near-duplicates."""
+    _bound_batches(docs)
     return minhash.drop_near_duplicates(docs)
 
 
@@ -46,6 +59,7 @@ def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Encode every text and decode it again."""
+    _bound_batches(docs)
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
     return bpe.encode_decode(docs, path, public_tokenizers.PATTERN, digest=True)
 

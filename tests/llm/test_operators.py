@@ -963,6 +963,31 @@ def test_pipeline(spark):
     assert {r.doc_id for r in out.collect()} == clean
 
 
+def test_pipeline_bounds_the_batches_of_workers(spark, monkeypatch):
+    import corpus_pipeline
+    import pyarrow as pa
+
+    setting = "spark.sql.execution.arrow.maxBytesPerBatch"
+    docs = spark.range(4000, numPartitions=1).select(F.col("id").alias("doc_id"), F.repeat(F.lit("word "), 1000).alias("text"), F.lit(None).cast("string").alias("lang"))
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows], pa.int64()), pa.array([b.nbytes], pa.int64())], names=["rows", "bytes"])
+
+    monkeypatch.setattr(corpus_pipeline.minhash, "drop_near_duplicates", lambda docs: docs)
+    try:
+        for stage in (corpus_pipeline.language, corpus_pipeline.near_duplicates, corpus_pipeline.tokens):
+            spark.conf.unset(setting)
+            stage(spark, docs, SF)
+            got = docs.mapInArrow(sizes, "rows long, bytes long").collect()
+            assert sum(r.rows for r in got) == 4000 and max(r.bytes for r in got) < 4 << 20, stage
+        spark.conf.set(setting, "1m")  # a smaller bound of the session's own stays
+        corpus_pipeline.tokens(spark, docs, SF)
+        assert spark.conf.get(setting) == "1m"
+    finally:
+        spark.conf.unset(setting)
+
+
 def test_language_stage_keeps_mixtures(spark):
     import corpus_pipeline
 
