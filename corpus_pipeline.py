@@ -15,7 +15,7 @@ from weftline.llm import bpe, decontam, langid, minhash, secrets
 from weftline.llm.common import read_table, shared_dir
 
 #: Bytes of rows that go to a Python worker at a time, about; a longer row goes alone.  Operators cut what they get to such sizes anyway,
-#: while Spark's own bound of 64 MB has an executor hold each batch in both the JVM and the worker, beside a heap that is full by then.
+#: while Spark's own bound of 64 MB has an executor hold each batch in both the JVM and the worker, beside a heap that grows with every stage.
 BATCH_BYTES = 2 << 20
 
 
